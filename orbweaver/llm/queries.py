@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweaver.llm import simhash
-from orbweaver.session import load
+from orbweaver.llm import bpe, records, simhash
+from orbweaver.session import load, scratch_path
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,31 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public vocabulary file; driver and executors have the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Ids of every document by the rank file, and the bytes they decode to, as digests."""
+    import public_tokenizers
+
+    return bpe.round_trip(load(spark, sf_dir, "documents"), path or tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_token_records(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Ids of every document, written to record files in ascending doc_id order and read back from them."""
+    place = scratch_path(spark, "records")
+    manifest = records.write_records(load(spark, sf_dir, "documents"), place, path or tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return records.read_records(spark, place, manifest)
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_token_records": op4_token_records,
 }
 
 ORACLES: dict[str, str] = {}
