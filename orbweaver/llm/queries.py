@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweaver.llm import bpe, records, simhash
+from orbweaver.llm import bpe, decontaminate, records, simhash
 from orbweaver.session import load, scratch_path
 
 
@@ -36,10 +36,31 @@ def op4_token_records(spark: SparkSession, sf_dir: str, path: str | None = None)
     return records.read_records(spark, place, manifest)
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of 8 words in every document."""
+    return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), size=8, min_items=2)
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_token_records": op4_token_records,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_benchmark_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bi AS (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 8, 0) + 2)) AS i FROM b WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, ws[i:i + 7] AS w FROM bi),
+lens AS (SELECT DISTINCT len(w) AS l FROM win),
+di AS (SELECT doc_id, ws, l, unnest(range(1, len(ws) - l + 2)) AS i FROM d, lens WHERE len(ws) >= l),
+hits AS (SELECT doc_id, item_id, i, l FROM (SELECT doc_id, i, l, ws[i:i + l - 1] AS w FROM di) JOIN win USING (w)),
+pos AS (SELECT doc_id, unnest(range(i, i + l)) AS p FROM hits),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM pos GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+ sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)""",
+}
