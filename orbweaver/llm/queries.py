@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweaver.llm import bpe, decontaminate, records, simhash
+from orbweaver.llm import bpe, decontaminate, records, repeats, simhash
 from orbweaver.session import load, scratch_path
 
 
@@ -15,6 +15,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 400 bytes that also start elsewhere."""
+    return repeats.repeats_report(load(spark, sf_dir, "documents"), length=400)
+
+
 def tokenizer_file(name: str) -> str:
     """The place of a public vocabulary file; driver and executors have the same package."""
     import public_tokenizers
@@ -43,6 +48,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_token_records": op4_token_records,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
