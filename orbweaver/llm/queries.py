@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweaver.llm import bpe, decontaminate, records, repeats, simhash, topk
+from orbweaver.llm import bpe, decontaminate, langid, quality, records, repeats, simhash, topk
 from orbweaver.session import load, scratch_path
 
 
@@ -41,6 +41,16 @@ def op4_token_records(spark: SparkSession, sf_dir: str, path: str | None = None)
     return records.read_records(spark, place, manifest)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those that are not held out."""
+    return langid.identify(load(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of every document by two co-trained views."""
+    return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest integer inner products of every 50th vector with all others."""
     v = load(spark, sf_dir, "embeddings").select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
@@ -57,6 +67,8 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_token_records": op4_token_records,
+    "op5_language_id": op5_language_id,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_topk": op8_exact_topk,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
