@@ -130,6 +130,13 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 8, min_items: i
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = 8, min_items: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = contamination(docs, items, size, min_items, id_col, text_col).filter("contaminated").select(F.col(id_col).alias("__bad")).distinct()
+    """The rows of ``docs`` without test passages, with all their columns.
+
+    A document goes if it holds a whole window of ``size`` words of any item, or windows of
+    ``min_items`` items (which counts for items too short to have a whole window: one such phrase
+    alone may be chance). Documents that share an id share their fate; null ids are an id too.
+    """
+    found = occurrences(docs.select(id_col, text_col), items, size, id_col, text_col)
+    per = found.groupBy("key").agg(F.max("length").alias("longest"), F.count_distinct("item_id").alias("n_items"))
+    bad = per.filter((F.col("longest") >= size) | (F.col("n_items") >= min_items)).select(F.col("key").alias("__bad"))
     return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweaver.llm import bpe, decontaminate, langid, quality, records, repeats, simhash, topk
+from orbweaver.llm import bpe, decontaminate, html, langid, quality, records, repeats, simhash, topk, units
 from orbweaver.session import load, scratch_path
 
 
@@ -46,6 +46,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(load(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines (5 words or more) that occur earlier; their places are kept."""
+    found = units.dedup_units(load(spark, sf_dir, "documents"), by="line", min_words=5)
+    places = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["size"])), ",")
+    return found.select("doc_id", "n_units", "n_removed", places.alias("removed"), "kept_text")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality and toxicity of every document by two co-trained views."""
     return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
@@ -57,6 +64,12 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(v.filter("vec_id % 50 = 0"), v, k=5)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 8 words in every document."""
     return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), size=8, min_items=2)
@@ -68,12 +81,24 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_token_records": op4_token_records,
     "op5_language_id": op5_language_id,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_topk": op8_exact_topk,
+    "op9_html_extraction": op9_html_extraction,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_line_dedup": r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+u AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d),
+n AS (SELECT doc_id, i, len(ls[i]) AS size, list_sum(list_transform(ls[1:i - 1], lambda x: len(x) + 1)) AS before,
+  trim(regexp_replace(lower(ls[i]), '[\x09-\x0D\x20\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]+', ' ', 'g')) AS norm FROM u),
+k AS (SELECT *, len(string_split(norm, ' ')) >= 5 AS counts FROM n),
+r AS (SELECT *, CASE WHEN counts THEN row_number() OVER (PARTITION BY norm, counts ORDER BY doc_id, i) > 1 ELSE false END AS gone FROM k),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(coalesce(before, 0)::BIGINT || ':' || size, ',' ORDER BY i) FILTER (gone) AS removed, list(i ORDER BY i) FILTER (NOT gone) AS kept FROM r GROUP BY 1)
+SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed,
+  coalesce(array_to_string(list_transform(kept, lambda i: ls[i]), chr(10)), '') AS kept_text FROM d LEFT JOIN g USING (doc_id)""",
     "op8_exact_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
