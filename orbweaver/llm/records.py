@@ -95,43 +95,85 @@ def masked(crc: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- encoding
 
 
+class _Generations:
+    """A bounded memo: when the young half is full it becomes the old one; what is used again moves back."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old = most, {}, {}
+
+    def lacking(self, keys: set[str]) -> list[str]:
+        """Which keys the memo lacks; the others are in the young half afterwards."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if (v := old.get(k)) is None:
+                    out.append(k)
+                else:
+                    young[k] = v
+        return out
+
+
 class WordMemo:
-    """A tokenizer file with a bounded memo of the ids of space-led words.
+    """A tokenizer file with bounded memos of the ids of space-led stretches and of pre-tokens.
 
     A space whose next character is a sure non-space always starts a pre-token, so a text may be cut
-    there and the parts encoded by themselves. Parts that the memo lacks are encoded together.
+    there and the stretches encoded by themselves. A stretch that the memo lacks is cut into its
+    pre-tokens, and only pre-tokens not seen lately go to the tokenizer, all of a batch together.
     """
 
-    SAFE = re.compile(r" (?=[!-~¡-ᙿぁ-퟿])")
+    SAFE = re.compile(" (?=[!-~\u00a1-\u167f\u3041-\ud7ff])")
+    UNSAFE = re.compile(" (?![!-~\u00a1-\u167f\u3041-\ud7ff])")
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 400_000) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.most, self.first, self.rest = most, {}, {}
-
-    def _learn(self, memo: dict[str, bytes], words: list[str], lead: str) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([lead + w for w in part], add_special_tokens=False)
-            memo.update(zip(part, (np.array(x.ids, self.dtype).tobytes() for x in found), strict=True))
+        self.stretches, self.tokens = _Generations(most), _Generations(3 * most // 4)
+        # Stretches of letters and a few marks are one or two pre-tokens. Where the tokenizer is byte-level
+        # and changes nothing before that, these go to its merges without its look at the text.
+        letters, marks = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+", r"[^\w\s']*"
+        self.simple = re.compile(rf"( {letters})({marks})(?:(\n)({letters})({marks}))?")
+        first = self.tokenizer.pre_tokenizer
+        self.plain = self.tokenizer.normalizer is None and isinstance(first, pre_tokenizers.ByteLevel) and not first.add_prefix_space
+        self.merges = self.tokenizer.model
+        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        others = [b for b in range(256) if b not in set(printable)]
+        self.shown = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}  # a byte's letter in the vocabulary
+
+    def _merge(self, items: list[str]) -> list[bytes]:
+        if not self.plain:
+            return self._encode(items)
+        merged, shown = self.merges.tokenize, self.shown
+        return [np.array([t.id for t in merged(x.encode().decode("latin-1").translate(shown))], self.dtype).tobytes() for x in items]
+
+    def _encode(self, items: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(items), 4096):
+            found = self.tokenizer.encode_batch_fast(items[at : at + 4096], add_special_tokens=False)
+            out += [np.array(x.ids, self.dtype).tobytes() for x in found]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, little-endian."""
-        cut = [self.SAFE.split(t) if t else [""] for t in texts]
-        if len(self.rest) > self.most:
-            self.rest = {}
-        if len(self.first) > self.most // 8:
-            self.first = {}
-        self._learn(self.first, list({p[0] for p in cut} - self.first.keys()), "")
+        cut = [[""] if not t else self.SAFE.split(t) if self.UNSAFE.search(t) else t.split(" ") for t in texts]
         need: set[str] = set()
         for p in cut:
             need.update(p[1:])
-        self._learn(self.rest, list(need - self.rest.keys()), " ")
-        get = self.rest.__getitem__
-        return [self.first[p[0]] + b"".join(map(get, p[1:])) for p in cut]
+        fresh = self.stretches.lacking(need)
+        words = {s: [x for x in m.groups() if x] for s in fresh if (m := self.simple.fullmatch(f" {s}"))}
+        unseen = self.tokens.lacking({x for p in words.values() for x in p})
+        self.tokens.young.update(zip(unseen, self._merge(unseen), strict=True))
+        token = self.tokens.young.__getitem__
+        known = self.stretches.young
+        known.update((s, b"".join(map(token, p))) for s, p in words.items())
+        others = [s for s in fresh if s not in words]
+        known.update(zip(others, self._encode([f" {s}" for s in others]), strict=True))
+        first = self._encode([p[0] for p in cut])
+        return [f + b"".join(map(known.__getitem__, p[1:])) for f, p in zip(first, cut, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -179,8 +221,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         records = tokens = offset = 0
         with system.open_output_stream(rec + mark) as out, system.open_output_stream(idx + mark) as index:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
                     ids = part.column(0).to_pylist()
                     coded = [x + tail for x in memo.encode(part.column(1).to_pylist())]
                     framed = _frame([struct.pack("<qB", i, memo.dtype.itemsize) + x for i, x in zip(ids, coded, strict=True)])

@@ -38,7 +38,7 @@ def test_crc32c():
 def test_memo_equals_library(tokenizer):
     rng = random.Random(6)
     memo = records.WordMemo(PATH, most=5)
-    alphabet = ["a", "bc", " ", "  ", "\n", "'re", "12", "é", "日本", "...", "\t", " ", " ", "\x1c", "\x85", "🙂", "<|endoftext|>"]
+    alphabet = ["a", "bc", " ", "  ", "\n", "'re", "12", "é", "日本", "...", "\t", " ", " ", "\x1c", "\x85", "🙂", "²", "x²", "ŉ", "_", "d'", "ab.\nCd", ",\n", "e\u0301", "###", "<|endoftext|>"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(300)]
     for at in range(0, 300, 50):
         part = texts[at : at + 50]
