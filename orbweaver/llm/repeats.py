@@ -8,8 +8,9 @@ rounds over ever fewer rows:
    zone hold one core string, and a core that occurs once in the corpus rules its windows out;
 2. the parse: of the rest, zones whose whole string (all their windows together) occurs again are
    repeated as they stand;
-3. ties within a core between unequal zones: only there single windows are hashed (128 bits),
-   together with one representative of each repeated zone of the same core.
+3. ties within a core between unequal zones: those zones, and one representative of each repeated zone
+   of the same core, are parted again, into narrow zones; where their cores occur again, single windows
+   are hashed (128 bits).
 
 Ranks within the suffix order are not needed for the result, only which suffixes agree, so classes
 of equal strings take the place of sorted ranks. All counting is aggregation with map-side partial
@@ -29,10 +30,11 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweaver.llm.parsing import Hashes, phrase_windows, split_zones
+from orbweaver.llm.parsing import GRAM, Hashes, phrase_windows, split_zones
 from orbweaver.session import cut, scratch_path
 
-ZONE, REACH = 64, 256
+#: Widths of the zones of window starts in the first and second round, and the places a trigger is chosen from.
+ZONE, FINE, REACH = 128, 8, 320
 #: Bytes hashed at a time; texts beyond are read in overlapping blocks.
 BLOCK = 1 << 19
 
@@ -61,19 +63,43 @@ def _blocks(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[i
         yield rows, offsets, parts
 
 
-def zones(texts: list[bytes], length: int, zone: int = ZONE, reach: int = REACH) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, core, full1, full2, first, last) of all zones of the texts; first and last are window starts."""
+def packed(first: np.ndarray, last: np.ndarray, trigger: np.ndarray) -> np.ndarray:
+    """One integer for a zone: its first window start, its width (up to 256) and the trigger's distance (up to 1024)."""
+    return first << 18 | (last - first) << 10 | (trigger - last)
+
+
+def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    first = at >> 18
+    last = first + (at >> 10 & 255)
+    return first, last, last + (at & 1023)
+
+
+def zones(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, core, first, last, trigger) of all zones of the texts; first and last are window starts."""
     for rows, offsets, parts in _blocks(texts, length):
         data = np.frombuffer(b"".join(parts), np.uint8)
         ends = np.cumsum([len(p) for p in parts])
         starts = ends - np.array([len(p) for p in parts])
-        one, two = Hashes(data, 0), Hashes(data, 1)
-        first, last, trigger, z = split_zones(*phrase_windows(one, starts, ends, length, reach), zone)
-        core = one.of(trigger - z * zone, length - zone + 1)
-        size = last - first + length
+        hashes = Hashes(data, 0)
+        first, last, trigger, z = split_zones(*phrase_windows(hashes, starts, ends, length, REACH), ZONE)
+        core = hashes.of(trigger - z * ZONE, length - ZONE + 1)
         where = np.searchsorted(ends, first, side="right")
         shift = np.array(offsets)[where] - starts[where]
-        yield np.array(rows)[where], core, one.of(first, size), two.of(first, size), first + shift, last + shift
+        yield np.array(rows)[where], core, first + shift, last + shift, trigger + shift
+
+
+def _stretches(text: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(offset, bytes, zones) of parts of a text that hold the zones; neighbours together, BLOCK or so at most."""
+    at = np.unique(at)
+    first, last, trigger = unpacked(at)
+    begin = 0
+    while begin < len(at):
+        end = begin + 1
+        while end < len(at) and first[end] <= last[end - 1] + length and last[end] - first[begin] < BLOCK:
+            end += 1
+        low = int(first[begin])
+        yield low, text[low : int(max(last[begin:end].max() + length, trigger[begin:end].max()))], at[begin:end]
+        begin = end
 
 
 _DISTINCT = pa.schema([("tid", pa.binary()), ("z", pa.binary())])
@@ -101,46 +127,61 @@ def _distinct_texts(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
 
 
 def _zone_rows(texts: DataFrame, length: int) -> DataFrame:
+    """(core, tid, at) of every zone of every text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
                 tids = part.column(0)
-                for row, core, f1, f2, first, last in zones([expand.decompress(z) for z in part.column(1).to_pylist()], length):
+                for row, core, *place in zones([expand.decompress(z) for z in part.column(1).to_pylist()], length):
                     if len(row):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(core.view(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), tids.take(pa.array(row)), pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64))],
-                            ["core", "f1", "f2", "tid", "first", "last"],
-                        )
+                        yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), tids.take(pa.array(row)), pa.array(packed(*place))], ["core", "tid", "at"])
 
-    return texts.mapInArrow(run, "core long, f1 long, f2 long, tid binary, first long, last long")
+    return texts.mapInArrow(run, "core long, tid binary, at long")
 
 
-def _window_rows(texts: DataFrame, segments: DataFrame, length: int) -> DataFrame:
-    """(f1, f2, tid, first): the hash of every single window of the segments."""
+def _per_text(texts: DataFrame, zone_table: DataFrame, length: int, schema: str, make) -> DataFrame:
+    """Rows made from the zones of each text; the texts stay where they are, the zones come to them."""
+    names = [x.strip().split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
             tids = batch.column(0)
-            for i, (z, segs) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
+            for i, (z, ats) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
                 text = np.frombuffer(expand.decompress(z.as_py()), np.uint8)
-                spans = sorted({(s["first"], s["last"]) for s in segs})
-                at = 0
-                while at < len(spans):  # neighbours together
-                    end = at + 1
-                    while end < len(spans) and spans[end][0] <= spans[end - 1][1] + length and spans[end][1] - spans[at][0] < BLOCK:
-                        end += 1
-                    low = spans[at][0]
-                    data = text[low : spans[end - 1][1] + length]
-                    p = np.concatenate([np.arange(a, b + 1) for a, b in spans[at:end]])
-                    h = [Hashes(data, k).of(p - low, length).view(np.int64) for k in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), tids.take(pa.array(np.full(len(p), i))), pa.array(p.astype(np.int64))], ["f1", "f2", "tid", "first"])
-                    at = end
-
-    grouped = segments.groupBy("tid").agg(F.collect_list(F.struct("first", "last")).alias("segs"))  # at most a row a zone of one text
-    return texts.join(grouped, "tid").select("tid", "z", "segs").mapInArrow(run, "f1 long, f2 long, tid binary, first long")
+                out = [make(low, data, at, length) for low, data, at in _stretches(text, ats.values.to_numpy(zero_copy_only=False), length)]
+                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+                arrays = [tids.take(pa.array(np.full(len(cols[0]), i))), *(pa.array(c.view(np.int64)) for c in cols)]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    grouped = zone_table.groupBy("tid").agg(F.collect_list("at").alias("ats"))  # the zones of one text
+    return texts.join(grouped, "tid").select("tid", "z", "ats").mapInArrow(run, schema)
+
+
+def _whole_zones(low: int, data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(core, f1, f2, at): the hash of the core and the 128-bit hash of all of each zone."""
+    first, last, trigger = unpacked(at)
+    one, two = Hashes(data, 0), Hashes(data, 1)
+    size = last - first + length
+    core = one.of(trigger - low - (trigger - first) // ZONE * ZONE, length - ZONE + 1)
+    return core, one.of(first - low, size), two.of(first - low, size), at
+
+
+def _fine_zones(low: int, data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(core, at): the zones parted into narrow ones."""
+    first, last, trigger, z = split_zones(*unpacked(at), FINE)
+    return Hashes(data, 0).of(trigger - low - z * FINE, length - FINE + 1), packed(first, last, trigger)
+
+
+def _single_windows(low: int, data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(f1, f2, first): the 128-bit hash of every window of the zones."""
+    first, last, _ = unpacked(at)
+    n = last - first + 1
+    p = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    return Hashes(data, 0).of(p - low, length), Hashes(data, 1).of(p - low, length), p
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -153,19 +194,25 @@ def _staged(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _again(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys occur more than once; counts aggregate before their shuffle."""
+    return rows.join(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys), keys)
+
+
 def _repeats(texts: DataFrame, copies: DataFrame, length: int, paths: list[str]) -> DataFrame:
     """(tid, whole, spans): texts with repeats; spans are runs of window starts, whole if the text has copies."""
-    rows = _staged(_zone_rows(texts, length), paths[0])
-    shared = rows.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
-    rows = cut(rows.join(shared, "core"))
-    classes = cut(rows.groupBy("core", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("tid", "first", "last")).alias("rep")))
-    again = rows.join(classes.filter("n > 1").select("core", "f1", "f2"), ["core", "f1", "f2"]).select("tid", "first", "last")
+    shared = _again(_zone_rows(texts, length), ["core"]).select("tid", "at")  # made twice rather than stored: most rows go
+    rows = _staged(_per_text(texts, shared, length, "tid binary, core long, f1 long, f2 long, at long", _whole_zones), paths[0])
+    classes = _staged(rows.groupBy("core", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("tid", "at")).alias("rep")), paths[1])
+    again = rows.join(classes.filter("n > 1").select("core", "f1", "f2"), ["core", "f1", "f2"]).select("tid", "at")
     tied = classes.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1").select("core")
     segments = classes.join(tied, "core").select("rep.*")
-    windows = _staged(_window_rows(texts, segments, length), paths[1])
-    twice = windows.groupBy("f1", "f2").agg(F.count("*").alias("n")).filter("n > 1").select("f1", "f2")
-    single = windows.join(twice, ["f1", "f2"]).select("tid", "first", F.col("first").alias("last"))
-    spans = again.unionByName(single).groupBy("tid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    fine = _again(_staged(_per_text(texts, segments, length, "tid binary, core long, at long", _fine_zones), paths[2]), ["core"])
+    windows = _staged(_per_text(texts, fine.select("tid", "at"), length, "tid binary, f1 long, f2 long, first long", _single_windows), paths[3])
+    single = _again(windows, ["f1", "f2"]).select("tid", "first", F.col("first").alias("last"))
+    first = F.shiftright("at", 18)
+    wide = again.select("tid", first.alias("first"), (first + F.shiftright("at", 10).bitwiseAND(255)).alias("last"))
+    spans = wide.unionByName(single).groupBy("tid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # of one text
     whole = copies.filter("n > 1").select("tid", F.lit(True).alias("whole"))
     return spans.join(whole, "tid", "full_outer").select("tid", F.coalesce("whole", F.lit(False)).alias("whole"), F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
 
@@ -194,11 +241,11 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def _find(docs: DataFrame, length: int, text_col: str, digest: bool) -> DataFrame:
     spark = docs.sparkSession
-    if length < 2 * ZONE + REACH // 4 or length < REACH + 16:
-        raise ValueError(f"length must be {REACH + 16} bytes or more")
+    if length < REACH + GRAM:
+        raise ValueError(f"length must be {REACH + GRAM} bytes or more")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _distinct_texts(docs, text_col, parts).persist(StorageLevel.DISK_ONLY)
-    paths = [scratch_path(spark, "repeats") for _ in range(2)]
+    paths = [scratch_path(spark, "repeats") for _ in range(4)]
     try:
         copies = docs.select(text_id(F.col(text_col)).alias("tid")).groupBy("tid").agg(F.count("*").alias("n"))
         found = _repeats(texts, copies, length, paths)

@@ -60,7 +60,7 @@ def test_long_text_in_blocks(monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK", 3000)
     rng = random.Random(4)
     data = bytes(rng.randrange(97, 123) for _ in range(20000))
-    rows = sorted((int(a), int(b)) for _, _, _, _, f, e in repeats.zones([data], 400) for a, b in zip(f, e, strict=True))
+    rows = sorted((int(a), int(b)) for _, _, f, e, _ in repeats.zones([data], 400) for a, b in zip(f, e, strict=True))
     at = 0
     for a, b in rows:
         assert a == at
