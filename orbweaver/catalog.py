@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from orbweaver.plans import search
+from orbweaver.plans import search, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (search,):
+for _module in (search, text):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[A-Za-z0-9_\-]+"
 
-#: English function words that a query drops.
-STOPWORDS = frozenset(
-    """a about above after again all am an and any are as at be because been before being below between both but by can
-    could did do does doing down during each few for from further had has have having he her here hers him his how i if in
-    into is it its itself just me more most my no nor not now of off on once only or other our ours out over own same she
-    should so some such than that the their theirs them then there these they this those through to too under until up
-    very was we were what when where which while who whom why will with would you your yours""".split()
-)
+#: English function words that a query drops, by kind.
+_FUNCTION_WORDS = {
+    "pronouns": "i me my it its itself he him his she her hers we us our ours you your yours they them their theirs",
+    "pointers": "this that these those here there the a an any each few some such other same own",
+    "questions": "what which who whom where when why how",
+    "forms of be, do, have": "be am is are was were been being do does did doing have has had having",
+    "modals": "can could may should will would",
+    "links": "and but or nor if so than then because as while until not no",
+    "places": "in into on off over under up down above below between through to from of at by for with about after before during against out",
+    "degrees": "all also again both further just more most very too only once now",
+}
+STOPWORDS = frozenset(w for ws in _FUNCTION_WORDS.values() for w in ws.split()) - {"us", "may", "against"}
 
 
 def tokens(text: Column) -> Column:
@@ -25,9 +29,8 @@ def tokens(text: Column) -> Column:
 
 
 def query_terms(query: str) -> list[str]:
-    """Ordered distinct terms of a query without stopwords (all terms if nothing else is left)."""
-    found = list(dict.fromkeys(t.lower() for t in re.findall(TOKEN, query)))
-    return [t for t in found if t not in STOPWORDS] or found
+    """Ordered distinct terms of a query without stopwords."""
+    return [t for t in dict.fromkeys(x.lower() for x in re.findall(TOKEN, query)) if t not in STOPWORDS]
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,6 +45,8 @@ def keyword_search(docs: DataFrame, query: str, k: int = 10, id_col: str = "doc_
     postings of those terms are counted and shuffled.
     """
     terms = query_terms(query)
+    if not terms:
+        return docs.select(id_col, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("tf_sum"), F.lit(0).cast("long").alias("matched")).limit(0)
     post = docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("token")).filter(F.col("token").isin(terms))
     post = post.groupBy(id_col).agg(*[F.count(F.when(F.col("token") == t, 1)).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = post.agg(*[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
