@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from orbweaver.plans import search, text
+from orbweaver.plans import rules, search, series, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (search, text):
+for _module in (search, text, rules, series):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

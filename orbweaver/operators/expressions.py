@@ -76,7 +76,9 @@ def _kind(t: T.DataType | None) -> str:
     return "other"
 
 
-NULL = Typed(F.lit(None), "null")
+def null() -> Typed:
+    """A fact that is not there. Made on call: a literal needs a session."""
+    return Typed(F.lit(None), "null")
 
 
 def truth(x: Typed) -> Column:
@@ -121,7 +123,7 @@ class Compiler:
         if name in self.schema.names:
             t = self.schema[name].dataType
             return Typed(F.col(f"`{name}`"), _kind(t), t)
-        return NULL  # a fact that nothing gave
+        return null()  # a fact that nothing gave
 
     def _node(self, n: ast.AST) -> Typed:
         return getattr(self, f"_{type(n).__name__.lower()}")(n)
@@ -129,7 +131,7 @@ class Compiler:
     def _constant(self, n: ast.Constant) -> Typed:
         v = n.value
         if v is None:
-            return NULL
+            return null()
         if isinstance(v, bool):
             return Typed(F.lit(v), "boolean", T.BooleanType())
         if isinstance(v, int):
@@ -159,7 +161,7 @@ class Compiler:
             return Typed(x.col.getField(key), _kind(t), t)
         if isinstance(x.type, T.MapType):
             return Typed(F.try_element_at(x.col, F.lit(key)), _kind(x.type.valueType), x.type.valueType)
-        return NULL
+        return null()
 
     def _attribute(self, n: ast.Attribute) -> Typed:
         return self._get(self._node(n.value), n.attr)
@@ -177,7 +179,7 @@ class Compiler:
         if isinstance(x.type, T.ArrayType) and isinstance(key.value, int):
             i = sign * key.value
             return Typed(F.try_element_at(x.col, F.lit(i + 1 if i >= 0 else i)), _kind(x.type.elementType), x.type.elementType)
-        return NULL
+        return null()
 
     def _boolop(self, n: ast.BoolOp) -> Typed:
         parts = [self._node(v) for v in n.values]
@@ -197,7 +199,7 @@ class Compiler:
         if isinstance(n.op, ast.Not):
             return Typed(~truth(x), "boolean", T.BooleanType())
         if x.kind not in ("number", "boolean"):
-            return NULL
+            return null()
         return Typed(-x.col if isinstance(n.op, ast.USub) else x.col, "number", x.type)
 
     def _binop(self, n: ast.BinOp) -> Typed:
@@ -207,7 +209,7 @@ class Compiler:
         if isinstance(n.op, ast.Sub) and a.kind == b.kind == "date":
             return Typed(F.datediff(a.col, b.col).cast("long"), "number", T.LongType())
         if not {a.kind, b.kind} <= {"number", "boolean"}:
-            return NULL
+            return null()
         whole = _whole(a.type) and _whole(b.type) and not isinstance(n.op, ast.Div)
         x, y = (a.col.cast("long"), b.col.cast("long")) if whole else (_num(a), _num(b))
         safe = F.when(y != 0, y)
@@ -283,7 +285,7 @@ class Compiler:
                 return Typed(c, _kind(t), t)
             real = [a for a in args if a.kind == "number"]
             if not real:
-                return NULL
+                return null()
             if len(real) == 1:
                 return real[0]
             whole = all(_whole(a.type) for a in real)
@@ -292,19 +294,19 @@ class Compiler:
         if name == "coalesce":
             real = [a for a in args if a.kind != "null"]
             if not real:
-                return NULL
+                return null()
             t = T.DoubleType() if real[0].kind == "number" and len({str(a.type) for a in real}) > 1 else real[0].type
             return Typed(F.coalesce(*[a.col.cast(t) for a in real if a.kind == real[0].kind]), real[0].kind, t)
         if name == "today":
             return Typed(day, "date", T.DateType())
-        x = args[0] if args else NULL
+        x = args[0] if args else null()
         if name == "abs":
-            return number(F.abs(x.col), x.type) if x.kind == "number" else NULL
+            return number(F.abs(x.col), x.type) if x.kind == "number" else null()
         if name == "round":
             places = n.args[1].value if len(n.args) > 1 and isinstance(n.args[1], ast.Constant) else 0
-            return number(F.bround(_num(x), places)) if x.kind == "number" else NULL
+            return number(F.bround(_num(x), places)) if x.kind == "number" else null()
         if name == "len":
-            return number(F.length(x.col).cast("long") if x.kind == "string" else F.size(x.col).cast("long"), T.LongType()) if x.kind in ("string", "list") else NULL
+            return number(F.length(x.col).cast("long") if x.kind == "string" else F.size(x.col).cast("long"), T.LongType()) if x.kind in ("string", "list") else null()
         if name in ("lower", "upper"):
             c = x.col.cast("string")
             return Typed(F.lower(c) if name == "lower" else F.upper(c), "string", T.StringType())
