@@ -195,8 +195,12 @@ def _staged(df: DataFrame, path: str) -> DataFrame:
 
 
 def _again(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys occur more than once; counts aggregate before their shuffle."""
-    return rows.join(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys), keys)
+    """The rows whose keys occur more than once.
+
+    Counts aggregate before their shuffle. The keys are written before the join: adaptive execution
+    only splits the rows of a hot key where both sides of the join are plain shuffles.
+    """
+    return rows.join(cut(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys)), keys)
 
 
 def _repeats(texts: DataFrame, copies: DataFrame, length: int, paths: list[str]) -> DataFrame:
@@ -205,7 +209,7 @@ def _repeats(texts: DataFrame, copies: DataFrame, length: int, paths: list[str])
     rows = _staged(_per_text(texts, shared, length, "tid binary, core long, f1 long, f2 long, at long", _whole_zones), paths[0])
     classes = _staged(rows.groupBy("core", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("tid", "at")).alias("rep")), paths[1])
     again = rows.join(classes.filter("n > 1").select("core", "f1", "f2"), ["core", "f1", "f2"]).select("tid", "at")
-    tied = classes.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1").select("core")
+    tied = cut(classes.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1").select("core"))
     segments = classes.join(tied, "core").select("rep.*")
     fine = _again(_staged(_per_text(texts, segments, length, "tid binary, core long, at long", _fine_zones), paths[2]), ["core"])
     windows = _staged(_per_text(texts, fine.select("tid", "at"), length, "tid binary, f1 long, f2 long, first long", _single_windows), paths[3])

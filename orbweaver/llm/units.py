@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbweaver.session import cut
+
 GAPS = {"line": "\n", "paragraph": "\n\n"}
 SPACE = re.compile("[\x09-\x0d\x20\x85\xa0  -     　]+")
 
@@ -69,7 +71,8 @@ def duplicate_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     u = units(docs, id_col, text_col, by, min_words)
     rank = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("pos").alias("pos"))
-    first = u.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    # written before the join, so that both its sides are plain shuffles, which adaptive execution can split
+    first = cut(u.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"))
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos"))
     return u.join(first, "digest").filter(~same).select("id", "th", "pos", "start", "size")
 
