@@ -62,7 +62,7 @@ def content_hash(text: Column) -> Column:
 def luhn(number: Column, least: int = 13) -> Column:
     """Whether the digits of a text pass the Luhn check and are ``least`` or more."""
     digits = F.regexp_replace(number, r"\D", "")
-    return (F.length(digits) >= least) & F.luhn_check(digits)
+    return (F.length(digits) >= least) & F.call_function("luhn_check", digits)
 
 
 def mask_recipient(address: Column) -> Column:

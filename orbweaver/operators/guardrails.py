@@ -115,7 +115,7 @@ def inspect_prompt(text: Column, blocked: list[str], leakage: list[str]) -> Colu
 def policy_findings(text: Column, policies: list[dict]) -> Column:
     """(policy, term, severity) of every blocked term of the input policies; severity is the policy's action."""
     rows = [F.when(F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(t.lower())), F.struct(F.lit(p["name"]).alias("policy"), F.lit(t).alias("term"), F.lit(p.get("action", "block")).alias("severity"))) for p in policies for t in p.get("terms", [])]
-    return F.array_compact(F.array(*rows))
+    return F.array_compact(F.array(*rows)) if rows else F.array().cast("array<struct<policy:string,term:string,severity:string>>")
 
 
 def token_set(text: Column) -> Column:
