@@ -31,7 +31,7 @@ LANE = 64
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_tokens", "<u8")])
 
 
-# ---------------------------------------------------------------- checksums
+# == checksums ==
 
 
 @lru_cache(maxsize=1)
@@ -92,7 +92,7 @@ def masked(crc: np.ndarray) -> np.ndarray:
     return (crc >> np.uint32(15) | crc << np.uint32(17)) + np.uint32(0xA282EAD8)
 
 
-# ---------------------------------------------------------------- encoding
+# == encoding ==
 
 
 class _Generations:
@@ -181,7 +181,7 @@ def load_memo(path: str) -> WordMemo:
     return WordMemo(path)
 
 
-# ---------------------------------------------------------------- files
+# == files ==
 
 
 def _frame(payloads: list[bytes]) -> list[bytes]:

@@ -32,7 +32,7 @@ WIDTHS = (22, 21, 21)
 SEED = 42
 
 
-# ---------------------------------------------------------------- fingerprints
+# == fingerprints ==
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -70,7 +70,7 @@ def fingerprints(text: Column, shingle: int = 3) -> Column:
     return of(text)
 
 
-# ---------------------------------------------------------------- Golay keys
+# == Golay keys ==
 
 
 def _remainder(v: int) -> int:
@@ -138,7 +138,7 @@ def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(fresh)[0], keys[fresh]
 
 
-# ---------------------------------------------------------------- links in a bucket
+# == links in a bucket ==
 
 
 def _forest(fps: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -251,7 +251,7 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     return sorted_keys.mapInArrow(linked, "a long, b long").distinct()
 
 
-# ---------------------------------------------------------------- documents
+# == documents ==
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
