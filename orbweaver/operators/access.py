@@ -52,7 +52,8 @@ def metric_kind(name: Column) -> Column:
     return out
 
 
-TICKET_STATES = {"1": "open", "new": "open", "2": "in_progress", "3": "on_hold", "6": "resolved", "resolved": "resolved", "7": "closed", "closed": "closed", "wappr": "open", "appr": "in_progress", "comp": "resolved", "close": "closed", "hold": "on_hold"}
+_CODES = {"open": "1 new wappr", "in_progress": "2 appr", "on_hold": "3 hold", "resolved": "6 resolved comp", "closed": "7 closed close"}
+TICKET_STATES = {code: state for state, codes in _CODES.items() for code in codes.split()}
 
 
 def ticket_state(code: Column) -> Column:

@@ -12,14 +12,14 @@ from pyspark.sql import types as T
 
 BUCKETS = 10_000
 #: Where a case may go from each state.
-_ALL = ("monitoring", "contacted", "promised", "awaiting_approval", "escalated", "resolved", "closed")
+_ALL = tuple("closed resolved escalated awaiting_approval promised contacted monitoring".split())
 TRANSITIONS = {
     "open": set(_ALL) - {"promised"},
     "monitoring": set(_ALL) - {"monitoring", "promised"},
     "contacted": set(_ALL) - {"contacted"},
     "promised": set(_ALL) - {"promised"},
     "awaiting_approval": set(_ALL) - {"awaiting_approval"},
-    "escalated": {"monitoring", "contacted", "awaiting_approval", "resolved", "closed"},
+    "escalated": set(_ALL) - {"escalated", "promised"},
     "resolved": {"monitoring", "closed"},
     "closed": set(),
 }
@@ -40,8 +40,8 @@ def stable_bucket(subject: Column, experiment: str, buckets: int = 100) -> Colum
 
 def assign_arm(subject: Column, experiment: str, arms: dict[str, float]) -> Column:
     """An arm by weights, the same for the same subject every time."""
-    total = sum(arms.values())
-    if total <= 0:
+    total = sum(w for _, w in arms.items())
+    if not total > 0:
         raise ValueError("the weights of the arms add up to nothing")
     point = stable_bucket(subject, experiment, BUCKETS) * (total / BUCKETS)
     names = list(arms)
@@ -78,7 +78,7 @@ def normal_tail(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or v != v else 0.5 * math.erfc(v / math.sqrt(2)))
 
 
-def compare_arms(rates: DataFrame, control: str = "holdout", confidence: float = 0.95, least: int = 30, arm: str = "arm") -> DataFrame:
+def compare_arms(rates: DataFrame, control: str = "holdout", confidence=0.95, least: int = 30, arm: str = "arm") -> DataFrame:
     """Each arm against the control: lift, relative_lift, p_value, interval of the difference, conclusive, note.
 
     ``rates`` is arm_rates' result: a row an arm, so the control's row is broadcast.
@@ -109,11 +109,11 @@ class ContactPolicy:
     """Hours (channel or * to start and end hour), caps (channel or *, most, days), consent, DND, cool-off days."""
 
     hours: dict[str, tuple[int, int]] = field(default_factory=dict)
-    caps: list[tuple[str, int, int]] = field(default_factory=list)
-    require_consent: tuple[str, ...] = ()
-    respect_dnd: tuple[str, ...] = ("sms", "voice", "whatsapp")
     cooloff_days: dict[str, int] = field(default_factory=dict)
+    caps: list[tuple[str, int, int]] = field(default_factory=list)
     timezone: str = "UTC"
+    require_consent: tuple = ()
+    respect_dnd: tuple = tuple("whatsapp voice sms".split())
 
 
 PRESETS = {

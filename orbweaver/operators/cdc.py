@@ -14,7 +14,7 @@ OPERATIONS = {
     **dict.fromkeys(("t", "truncate", "drop", "dropdatabase"), "TRUNCATE"),
     **dict.fromkeys(("heartbeat", "m"), "HEARTBEAT"),
 }
-DATA_CHANGES = ("INSERT", "UPDATE", "DELETE", "READ")
+DATA_CHANGES = tuple("DELETE INSERT READ UPDATE".split())
 
 
 def operation(c: Column) -> Column:

@@ -32,7 +32,7 @@ def chunk_words(docs: DataFrame, size: int = 80, overlap: int = 12, id_col: str
 
 def smart_text(text: str, size: int = 1000, overlap: int = 200) -> list[str]:
     """Pieces of at most ``size`` characters, cut at paragraphs, else sentences, else spaces."""
-    rest, out = text.replace("\r\n", "\n").replace("\r", "\n").strip(), []
+    rest, out = "\n".join(text.splitlines()).strip(), []
     while rest:
         if len(rest) <= size:
             out.append(rest)
@@ -98,13 +98,13 @@ def pack(rows: Iterable[str], header: str = "", size: int = 1500) -> list[str]:
 
 def csv_text(text: str, size: int = 1500) -> list[str]:
     """Rows of a CSV text as '[Row ID: n] name: value | ...', packed under their columns."""
-    lines = [x for x in text.replace("\r\n", "\n").replace("\r", "\n").strip().split("\n") if x.strip()]
+    lines = [x for x in text.splitlines() if x.strip()]
     start = next((i for i, x in enumerate(lines) if "," in x), 0)
     try:
         reader = csv.DictReader(io.StringIO("\n".join(lines[start:])))
         rows = []
         for n, row in enumerate(reader, 1):
-            if items := [f"{k.strip()}: {v.strip()}" for k, v in row.items() if k and isinstance(v, str)]:
+            if items := [k.strip() + ": " + v.strip() for k, v in row.items() if isinstance(v, str) and k]:
                 rows.append(f"[Row ID: {n}] " + " | ".join(items))
         names = [c.strip() for c in reader.fieldnames or [] if c]
         found = pack(rows, "Columns: " + ", ".join(names) if names else "", size)
@@ -115,7 +115,7 @@ def csv_text(text: str, size: int = 1500) -> list[str]:
 
 def json_text(text: str) -> list[str]:
     """One chunk an item of an array, or one for an object, indented; text that is no JSON is cut as text."""
-    body = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", text.strip()))
+    body = text.strip().removeprefix("```json").removeprefix("```").removesuffix("```").strip()
     spans = [(body.find(a), body.rfind(b)) for a, b in ("[]", "{}")]
     whole = [(a, b) for a, b in spans if a >= 0 and b >= 0]
     try:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-import math
 from dataclasses import dataclass, field
 from datetime import date
 from functools import reduce
+from hashlib import sha256
+from math import log
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -16,12 +16,12 @@ from pyspark.sql import types as T
 
 from orbweaver.operators.expressions import Compiler, Typed, fields, parse
 
-HIT_POLICIES = ("first", "priority", "collect", "unique")
+HIT_POLICIES = tuple("collect first priority unique".split())
 
 
 def content_version(data: Any, size: int = 16) -> str:
     """A hash of what a rule set says, the same for equal rules."""
-    return hashlib.sha256(json.dumps(data, sort_keys=True, default=str).encode()).hexdigest()[:size]
+    return sha256(json.dumps(data, sort_keys=True, default=str).encode()).hexdigest()[:size]
 
 
 @dataclass
@@ -29,13 +29,13 @@ class DecisionTable:
     """Rules (id, when, then, priority) under a hit policy; outputs that start with '=' are expressions."""
 
     name: str
-    rules: list[dict[str, Any]]
-    hit_policy: str = "first"
-    default: dict[str, Any] | None = None
-    inputs: list[str] = field(default_factory=list)
+    rules: list[dict]
+    hit_policy: str = HIT_POLICIES[1]
+    default: dict | None = None
+    inputs: tuple = ()
 
     def __post_init__(self) -> None:
-        if self.hit_policy not in HIT_POLICIES:
+        if self.hit_policy not in set(HIT_POLICIES):
             raise ValueError(f"a hit policy is one of {HIT_POLICIES}")
         self.rules = [{"id": r.get("id") or f"R{i}", "when": r.get("when") or "True", "then": r.get("then") or {}, "priority": r.get("priority") or 0} for i, r in enumerate(self.rules, 1)]
         ids = [r["id"] for r in self.rules]
@@ -52,7 +52,7 @@ class DecisionTable:
         return content_version({"name": self.name, "rules": self.rules, "hit_policy": self.hit_policy, "default": self.default, "inputs": self.inputs})
 
     def reads(self) -> set[str]:
-        """Every fact the table looks at: what a scan has to deliver."""
+        """All facts that the table looks at: what a scan has to deliver."""
         exprs = [r["when"] for r in self.rules] + [v[1:] for r in self.rules for v in r["then"].values() if isinstance(v, str) and v.startswith("=")]
         return set(self.inputs).union(*map(fields, exprs)) if exprs else set(self.inputs)
 
@@ -103,13 +103,13 @@ class Scorecard:
     """Points by characteristic, scaled so that ``pdo`` points double the odds."""
 
     name: str
-    characteristics: list[dict[str, Any]]
-    base_points: float = 600.0
-    base_odds: float = 50.0
-    pdo: float = 20.0
-    bands: list[tuple[str, float]] = field(default_factory=list)
+    characteristics: list[dict]
+    bands: list = field(default_factory=list)
+    outputs: dict = field(default_factory=dict)
     max_reasons: int = 4
-    outputs: dict[str, str] = field(default_factory=dict)
+    pdo: float = 20
+    base_odds: float = 50
+    base_points: float = 600
 
     def __post_init__(self) -> None:
         if not self.characteristics or self.pdo <= 0 or self.base_odds <= 0:
@@ -145,8 +145,8 @@ class Scorecard:
             most = max([float(b["points"]) for b in ch["bins"]] + [missing])
             lost.append(F.struct((p - most).alias("minus"), F.lit(ch["id"]).alias("code")))
         score = F.round(reduce(lambda a, b: a + b, points), 2)
-        factor = self.pdo / math.log(2)
-        offset = self.base_points - factor * math.log(self.base_odds)
+        factor = self.pdo / log(2)
+        offset = self.base_points - factor * log(self.base_odds)
         band = F.lit(self.bands[-1][0]) if self.bands else F.lit(None).cast("string")
         for name, least in reversed(self.bands):
             band = F.when(score >= least, F.lit(name)).otherwise(band)
@@ -175,7 +175,7 @@ def run_strategy(df: DataFrame, strategy: dict[str, Any], today: date) -> DataFr
     strategy: facts {name: expression}, steps [{"scorecard": Scorecard} or {"table": DecisionTable}].
     The steps are projections on one row each, which Catalyst folds where it can; nothing is shuffled.
     """
-    for name, source in (strategy.get("facts") or {}).items():
+    for name, source in dict(strategy.get("facts") or ()).items():
         df = df.withColumn(name, Compiler(df.schema, today).compile(source).col)
     for step in strategy.get("steps") or []:
         if (card := step.get("scorecard")) is not None:

@@ -7,17 +7,17 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_LOCAL, _HOST = "[A-Za-z0-9._%+-]+", r"[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+_LOCAL, _HOST = "[0-9a-zA-Z%+._-]+", "[-.0-9a-zA-Z]+[.][a-zA-Z]{2,}"
 EMAIL = rf"\b{_LOCAL}@{_HOST}\b"
 DATE = r"\b\d{4}(?:-\d{2}){2}\b"
-MONEY = r"\$\s?\d+(?:,\d{3})*(?:\.\d\d)?\b"
+MONEY = r"[$]\s?[0-9]+(?:,[0-9]{3})*(?:[.][0-9]{2})?\b"
 _NAME = "[A-Z][a-z]+"
 ENTITY = rf"\b{_NAME}(?:\s+{_NAME})*\b"
 #: Tags of documents by words they hold, where a job names none.
 DEFAULT_TAGS = {
-    "customer": ["customer", "client", "account", "profile", "support", "subscription"],
-    "finance": ["invoice", "payment", "revenue", "transaction", "budget", "billing"],
-    "security": ["password", "encryption", "access", "breach", "credential", "audit"],
+    "customer": "account client customer profile subscription support".split(),
+    "finance": "billing budget invoice payment revenue transaction".split(),
+    "security": "access audit breach credential encryption password".split(),
 }
 
 
@@ -104,7 +104,7 @@ def idempotency_key(parts: list[Column], most: int = 200) -> Column:
 
     def clean(p: Column) -> Column:
         s = F.regexp_replace(F.coalesce(p.cast("string"), F.lit("None")), r"^\s+|\s+$", "")
-        s = F.regexp_replace(s, "[^A-Za-z0-9._:-]+", "-")
+        s = F.regexp_replace(s, "[^-0-9A-Za-z:_.]+", "-")
         s = F.regexp_replace(s, "^-+|-+$", "")
         return F.when(s == "", F.lit("_")).otherwise(s)
 

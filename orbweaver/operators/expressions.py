@@ -20,11 +20,9 @@ MAX_LENGTH = 2000
 FUNCTIONS = ("min", "max", "abs", "round", "len", "lower", "upper", "date", "coalesce", "days_until", "days_since", "today", "add_days", "str")
 MAX_DAYS = 36_600
 
-_ALLOWED = (
-    ast.Expression, ast.Constant, ast.Name, ast.Load, ast.List, ast.Tuple, ast.Attribute, ast.Subscript, ast.BoolOp, ast.And, ast.Or,
-    ast.UnaryOp, ast.Not, ast.USub, ast.UAdd, ast.BinOp, ast.Add, ast.Sub, ast.Mult, ast.Div, ast.FloorDiv, ast.Mod, ast.Compare,
-    ast.Eq, ast.NotEq, ast.Lt, ast.LtE, ast.Gt, ast.GtE, ast.In, ast.NotIn, ast.Is, ast.IsNot, ast.IfExp, ast.Call,
-)
+_NODES = """Expression IfExp Call Compare BoolOp BinOp UnaryOp Constant Name Subscript Attribute Tuple List Load Or And
+ USub Not UAdd Mod FloorDiv Div Mult Sub Add IsNot Is NotIn In GtE Gt LtE Lt NotEq Eq"""
+_ALLOWED = tuple(getattr(ast, n) for n in _NODES.split())
 
 
 class ExpressionError(ValueError):
@@ -46,7 +44,7 @@ def parse(source: str) -> ast.Expression:
     if len(source) > MAX_LENGTH:
         raise ExpressionError(f"an expression has {MAX_LENGTH} characters at most")
     try:
-        tree = ast.parse(source.strip(), mode="eval")
+        tree = ast.parse("\n".join(source.split("\n")).strip(), "<rule>", "eval")
     except (SyntaxError, ValueError) as e:
         raise ExpressionError(f"not an expression: {e}") from e
     for n in ast.walk(tree):
@@ -63,8 +61,9 @@ def parse(source: str) -> ast.Expression:
 def fields(source: str) -> set[str]:
     """The facts that an expression reads."""
     tree = parse(source)
-    called = {id(n.func) for n in ast.walk(tree) if isinstance(n, ast.Call)}
-    return {n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and id(n) not in called}
+    every = list(ast.walk(tree))
+    called = {id(x.func) for x in every if isinstance(x, ast.Call)}
+    return {x.id for x in every if type(x) is ast.Name and id(x) not in called}
 
 
 def _kind(t: T.DataType | None) -> str:

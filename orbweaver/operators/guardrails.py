@@ -14,7 +14,7 @@ from orbweaver.operators.enrich import EMAIL, luhn
 from orbweaver.operators.ranking import overlap
 
 _B64 = "[A-Za-z0-9_-]"
-_BYTE = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_BYTE = "(?:1?[0-9]?[0-9]|2[0-4][0-9]|25[0-5])"
 _GAP = r"[-.\s]?"
 _KEYS = (
     rf"sk-(?:ant-|proj-)?{_B64}{{16,}}",
@@ -30,8 +30,8 @@ PATTERNS = {
     "api_key": r"\b(?:" + "|".join(_KEYS) + ")",
     "email": EMAIL,
     "ssn": r"\b\d{3}-\d\d-\d{4}\b",
-    "credit_card": r"\b(?:\d[ -]?){13,19}\b",
-    "phone": r"(?<![\w+])\+\d{1,3}" + _GAP + r"\d{2,5}" + (_GAP + r"\d{3,5}") * 2 + r"\b|\b(?:\+?1" + _GAP + r")?\(?\d{3}\)?" + _GAP + r"\d{3}" + _GAP + r"\d{4}\b",
+    "credit_card": r"\b(?:[0-9][- ]?){13,19}\b",
+    "phone": r"(?<![+\w])[+][0-9]{1,3}" + _GAP + r"\d{2,5}" + (_GAP + r"\d{3,5}") * 2 + r"\b|\b(?:\+?1" + _GAP + r")?\(?\d{3}\)?" + _GAP + r"\d{3}" + _GAP + r"\d{4}\b",
     "ip_address": rf"\b(?:{_BYTE}\.){{3}}{_BYTE}\b",
 }
 MASKS = {k: f"[{v}]" for k, v in {"jwt": "JWT_TOKEN", "api_key": "API_KEY", "email": "EMAIL", "ssn": "SSN", "credit_card": "CREDIT_CARD", "phone": "PHONE", "ip_address": "IP_ADDRESS"}.items()}

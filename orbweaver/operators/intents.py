@@ -17,11 +17,11 @@ COMPATIBLE = ({"mandate_issue", "promise_to_pay"},)
 #: A small default lexicon: intent to (pattern, weight); jobs give their own.
 LEXICON = {
     "promise_to_pay": [(r"\b(?:will|shall|going to)\s+(?:pay|clear|transfer)", 0.75), (r"\bpay\s+(?:by|on|before|tomorrow|today)\b", 0.7)],
-    "hardship": [(r"\b(?:lost|losing)\s+my\s+(?:job|income)\b", 0.9), (r"\b(?:unable|not able)\s+to\s+pay\b", 0.7)],
-    "already_paid": [(r"\balready\s+(?:paid|cleared)\b", 0.9), (r"\b(?:paid|transferred)\b", 0.55)],
+    "hardship": [(r"\b(?:unable|not able)\s+to\s+pay\b", 0.7), (r"\blo(?:st|sing)\s+my\s+(?:job|work)\b", 0.9)],
+    "already_paid": [(r"\b(?:paid|transferred)\b", 0.55), (r"\balready\s+(?:cleared|paid)\b", 0.9)],
     "dispute": [(r"\b(?:wrong|double|extra)\s+(?:charge|amount|debit)", 0.8), (r"\bcomplaint\b", 0.7)],
-    "stop_contact": [(r"^\s*stop\s*$", 0.95), (r"\bunsubscribe\b", 0.9)],
-    "wrong_number": [(r"\bwrong\s+(?:number|person)\b", 0.95)],
+    "stop_contact": [(r"\A\s*stop\s*\Z", 0.95), (r"\bunsubscribe\b", 0.9)],
+    "wrong_number": [(r"\bwrong\s+(?:person|number)\b", 0.95)],
     "callback_request": [(r"\bcall\s+me\s+(?:back|later)\b", 0.8)],
 }
 
@@ -60,8 +60,8 @@ def entities(text: Column) -> dict[str, Column]:
     """payment_reference, amount and months_requested of a reply."""
     some = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
     return {
-        "payment_reference": F.upper(some(r"(?i)\b(?:utr|rrn|txn|ref)\s*(?:no|number|id)?\s*[:#-]?\s*([a-z0-9]{8,})")),
-        "amount": F.regexp_replace(some(r"(?i)(?:rs\.?|inr|₹)\s*([\d,]+(?:\.\d{1,2})?)"), ",", "").try_cast("double"),
+        "payment_reference": F.upper(some(r"(?i)\b(?:ref|rrn|txn|utr)\s*(?:id|no|number|)\s*[-#:]?\s*([0-9a-z]{8,})")),
+        "amount": F.regexp_replace(some(r"(?i)(?:inr|rs[.]?|₹)\s*([,0-9]+(?:[.][0-9]{1,2})?)"), ",", "").try_cast("double"),
         "months_requested": some(r"(?i)\b(\d{1,2})\s+months?\b").try_cast("int"),
     }
 
@@ -80,13 +80,13 @@ def promise_date(text: str | None, today: date) -> date | None:
         except ValueError:
             return None
 
-    if m := re.search(r"\b(\d{1,2})[/-](\d{1,2})(?:[/-](\d{2,4}))?\b", t):
+    if m := re.search(r"\b([0-9]{1,2})[/-]([0-9]{1,2})(?:[/-]([0-9]{2,4}))?\b", t):
         y = int(m[3]) + (2000 if len(m[3]) == 2 else 0) if m[3] else today.year
         if found := day(y, int(m[2]), int(m[1])):
             return found if m[3] or found >= today else day(y + 1, int(m[2]), int(m[1]))
-    if (m := re.search(r"\b(\d{1,2})(?:st|nd|rd|th)?\s+(" + "|".join(_MONTHS) + r")[a-z]*\b", t)) and (found := day(today.year, _MONTHS[m[2]], int(m[1]))):
+    if (m := re.search(r"\b([0-9]{1,2})(?:th|rd|nd|st)?\s+(" + "|".join(_MONTHS) + r")[a-z]*\b", t)) and (found := day(today.year, _MONTHS[m[2]], int(m[1]))):
         return found if found >= today else day(today.year + 1, _MONTHS[m[2]], int(m[1]))
-    if m := re.search(r"\b(\d{1,2})(?:st|nd|rd|th)\b", t):
+    if m := re.search(r"\b([0-9]{1,2})(?:th|rd|nd|st)\b", t):
         found = day(today.year, today.month, int(m[1]))
         if found and found >= today:
             return found
@@ -94,7 +94,7 @@ def promise_date(text: str | None, today: date) -> date | None:
     for word, n in (("day after tomorrow", 2), ("tomorrow", 1), ("today", 0), ("next week", 7)):
         if word in t:
             return today + timedelta(days=n)
-    if m := re.search(r"\b(" + "|".join(_DAYS) + r")[a-z]*\b", t):
+    if m := re.search(r"\b(" + "|".join(_DAYS) + r")\w*", t):
         return today + timedelta(days=(_DAYS[m[1]] - today.weekday() - 1) % 7 + 1)
     return None
 
@@ -105,7 +105,8 @@ _WORD = re.compile(r"[^\W_]+")
 def features(text: str | None) -> list[str]:
     """Words, and the 3- and 4-grams of words between their ends; numbers by their length."""
     out = []
-    for w in _WORD.findall((text or "").lower()):
+    found = _WORD.findall(text.lower()) if text else []
+    for w in found:
         w = "#" * min(6, len(w)) if w.isdigit() else w
         marked = f"<{w}>"
         out.append(f"w:{w}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PHONE = r"\+?\d[\d\s().-]{7,}\d"
+PHONE = r"[+]?[0-9][-.()\s0-9]{7,}[0-9]"
 EDGE_SPACE = r"^\s+|\s+$"
 
 

@@ -45,31 +45,34 @@ def diagnose(symptoms: DataFrame, faults: list[dict[str, Any]], key: str = "asse
         need = F.array(*[F.lit(x) for x in f["requires"]])
         n = len(f["requires"])
         support = F.size(F.array_intersect(F.col(col), F.array(*[F.lit(x) for x in f.get("supports", [])]))) / len(f["supports"]) if f.get("supports") else F.lit(0.0)
-        conf = F.least(F.lit(0.95), 0.55 + 0.3 * support + 0.1 * (n - 1))
+        conf = F.least(F.lit(0.95), support * 0.3 + (0.55 + (n - 1) / 10))
         row = F.struct(F.lit(0 if f.get("sensor") else 1).alias("o"), F.lit(-n).alias("n"), (-conf).alias("c"), F.lit(f["name"]).alias("fault"))
         ranked.append(F.when(F.size(F.array_except(need, F.col(col))) == 0, row))
     best = F.array_min(F.array_compact(F.array(*ranked)))
     return symptoms.withColumn("__b", best).select(key, F.col("__b.fault").alias("fault"), F.round(-F.col("__b.c"), 4).alias("confidence"))
 
 
+Limit = float | None
+
+
 @dataclass
 class Signal:
     """What is known of a metric: limits, plausible range, rates and weights."""
 
     name: str
-    unit: str = ""
-    warn_high: float | None = None
-    alarm_high: float | None = None
-    warn_low: float | None = None
-    alarm_low: float | None = None
-    valid_min: float | None = None
-    valid_max: float | None = None
-    max_rate_per_hour: float | None = None
-    z_threshold: float = 6.0
+    alarm_high: Limit = None
+    alarm_low: Limit = None
+    warn_high: Limit = None
+    warn_low: Limit = None
+    valid_max: Limit = None
+    valid_min: Limit = None
+    max_rate_per_hour: Limit = None
+    flatline_minutes: float = 30.0
+    expected_interval_seconds: float = 60.0
     drift_threshold: float = 3.0
+    z_threshold: float = 6.0
     weight: float = 1.0
-    expected_interval_seconds: float = 60.0
-    flatline_minutes: float = 30.0
+    unit: str = ""
 
 
 def logistic(x: float, middle: float, steep: float = 1.5) -> float:
@@ -113,7 +116,7 @@ class Series:
             return
         self.invalid = False
         self.points = [*self.points, (t, v)][-RECENT:]
-        if not self.history or t - self.history[-1][0] >= STEP:
+        if not (old := self.history) or old[-1][0] <= t - STEP:
             self.history = [*self.history, (t, v)][-HISTORY:]
         if self.last is None:
             self.fast = self.slow = v
@@ -128,7 +131,7 @@ class Series:
 
     def dump(self) -> dict[str, Any]:
         r = lambda ps: [[float(int(t)), round(v, 4)] for t, v in ps]
-        return {"points": r(self.points), "history": r(self.history), "fast": self.fast, "slow": self.slow, "var": self.var, "last": self.last, "invalid": self.invalid}
+        return {"points": r(self.points), "history": r(self.history), "var": self.var, "slow": self.slow, "fast": self.fast, "last": self.last, "invalid": self.invalid}
 
     @classmethod
     def load(cls, d: Mapping[str, Any]) -> Series:
@@ -152,7 +155,7 @@ def assess(series: dict[str, Series], signals: dict[str, Signal], now: float, ho
             quality = "suspect" if quality == "valid" else quality
             reasons.append((f"{up}_STALE", 0.0))
         flat = [v for t, v in s.points if t >= end - sig.flatline_minutes * 60]
-        if len(flat) >= 10 and len(set(flat)) == 1 and (len({v for _, v in s.points}) > 1 or len({v for _, v in s.history}) > 1):
+        if len(flat) >= 10 and len(set(flat)) == 1 and any(v != flat[0] for _, v in s.points + s.history):
             quality = "suspect" if quality == "valid" else quality
             reasons.append((f"{up}_FLATLINE", 0.0))
         found: list[tuple[float, str]] = []
@@ -162,13 +165,14 @@ def assess(series: dict[str, Series], signals: dict[str, Signal], now: float, ho
                 alarm = True
             elif warn is not None and beyond(warn):
                 found.append((0.6, f"WARN_{side}"))
-        old = [v for t, v in s.history if t < end - 3600] if len(s.history) > 24 else []
+        known = len(s.history)
+        old = [] if known <= 24 else [v for t, v in s.history if t + 3600 < end]
         if old:
             mid = median(old)
             mad = 1.4826 * median(abs(v - mid) for v in old)
             if mad > 0 and (z := abs(value - mid) / mad) >= 0.7 * sig.z_threshold:
                 found.append((logistic(z, sig.z_threshold), "SPIKE"))
-        if len(s.history) >= 24 and s.var > 0 and abs(d := (s.fast - s.slow) / math.sqrt(s.var)) >= 0.7 * sig.drift_threshold:
+        if known >= 24 and s.var > 0 and abs(d := (s.fast - s.slow) / s.var**0.5) >= 0.7 * sig.drift_threshold:
             found.append((logistic(abs(d), sig.drift_threshold), "DRIFT"))
         times = [t for t, _ in s.points]
         slope = significant_slope(s.points[bisect_left(times, end - 3 * 3600) :] if times == sorted(times) else [p for p in s.points if p[0] >= end - 3 * 3600])

@@ -57,8 +57,8 @@ def decision_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
 CARD = Scorecard(
     "risk",
     [
-        {"id": "BALANCE", "field": "c_acctbal", "bins": [{"when": "value < 0", "points": 270}, {"when": "value < 5000", "points": 300}, {"when": "value >= 5000", "points": 330}], "missing_points": 290},
-        {"id": "SEGMENT", "field": "c_mktsegment", "bins": [{"when": "value in ('BUILDING', 'MACHINERY')", "points": 300}], "missing_points": 280},
+        {"id": "BALANCE", "field": "c_acctbal", "bins": [{"points": 270, "when": "value < 0"}, {"points": 300, "when": "value < 5000"}, {"points": 330, "when": "value >= 5000"}], "missing_points": 290},
+        {"id": "SEGMENT", "field": "c_mktsegment", "bins": [{"points": 300, "when": "value in ('BUILDING', 'MACHINERY')"}], "missing_points": 280},
         {"id": "ORDERS", "field": "n_orders", "bins": [{"when": "value > 10", "points": 40}, {"when": "True", "points": 10}], "missing_points": 0},
     ],
     bands=[("low", 640.0), ("medium", 580.0), ("high", 0.0)],

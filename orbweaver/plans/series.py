@@ -50,7 +50,7 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     op = F.when(F.col("event_type") == "signup", "c").when(F.col("event_type") == "error", "d").otherwise("u")
     row = F.to_json(F.struct(F.col("user_id").alias("id"), "value", F.col("event_id").alias("version")))
-    body = F.concat(F.lit('{"op":"'), op, F.lit('","'), F.when(op == "d", "before").otherwise("after"), F.lit('":'), row, F.lit(',"source":{"db":"shop","table":"users"},"ts_ms":'), F.col("event_id").cast("string"), F.lit("}"))
+    body = F.concat(F.lit('{"op":"'), op, F.lit('","'), F.when(op == "d", "before").otherwise("after"), F.lit('":'), row, F.lit(',"source":{"table":"users","db":"shop"},"ts_ms":'), F.col("event_id").cast("string"), F.lit("}"))
     return cdc.normalise(e.select("event_id", F.when(F.col("event_id") % 2 == 0, body).otherwise(F.concat(F.lit('{"payload":'), body, F.lit("}"))).alias("payload")))
 
 

@@ -39,7 +39,7 @@ def read_documents(spark: SparkSession, folder: str, pattern: str = "*") -> Data
 
 def read_any(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """json (array or object), jsonl, csv (header, all text) or txt/md, by ``kind`` or the path's ending."""
-    kind = kind or path.rstrip("/").rsplit(".", 1)[-1].lower()
+    kind = (kind or path.rstrip("/").rpartition(".")[2]).lower()
     if kind == "jsonl":
         return read_jsonl(spark, path)
     if kind == "json":

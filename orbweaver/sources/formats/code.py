@@ -14,9 +14,12 @@ def complexity(node: ast.AST) -> int:
     return 1 + sum(isinstance(n, _BRANCHES) + (len(n.values) - 1 if isinstance(n, ast.BoolOp) else 0) for n in ast.walk(node))
 
 
-def signature(node: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
+_FUNCTIONS = ast.AsyncFunctionDef, ast.FunctionDef
+
+
+def signature(node: ast.AST) -> str:
     """A function's head as text."""
-    head = "async def" if isinstance(node, ast.AsyncFunctionDef) else "def"
+    head = ("async " if type(node) is ast.AsyncFunctionDef else "") + "def"
     return f"{head} {node.name}({ast.unparse(node.args)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
 
 
@@ -27,13 +30,13 @@ def python_chunks(path: str, data: bytes) -> list[tuple[int, str]]:
 
     def visit(nodes: list[ast.stmt], owner: str) -> None:
         for n in nodes:
-            if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            if isinstance(n, _FUNCTIONS):
                 kind = "Method" if owner else "Function"
                 doc = (ast.get_docstring(n) or "").split("\n")[0]
                 out.append(f"[{kind}: {owner + '.' if owner else ''}{n.name} | Lines {n.lineno}-{n.end_lineno} | Complexity {complexity(n)}] {signature(n)}" + (f"\n{doc}" if doc else "") + f"\n{ast.get_source_segment(text, n)}")
             elif isinstance(n, ast.ClassDef):
                 bases = ", ".join(map(ast.unparse, n.bases))
-                methods = ", ".join(m.name for m in n.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef)))
+                methods = ", ".join(m.name for m in n.body if isinstance(m, _FUNCTIONS))
                 out.append(f"[Class: {n.name}({bases}) | Lines {n.lineno}-{n.end_lineno}] methods: {methods}" + (f"\n{d}" if (d := ast.get_docstring(n)) else ""))
                 visit(n.body, f"{owner + '.' if owner else ''}{n.name}")
 
@@ -76,7 +79,7 @@ def openapi_chunks(path: str, data: bytes) -> list[tuple[int, str]]:
     spec, out = json.loads(data), []
     kind = lambda s: s.get("$ref", "").rsplit("/", 1)[-1] or s.get("type", "any")
     for route, item in (spec.get("paths") or {}).items():
-        for verb in ("get", "put", "post", "delete", "patch", "head", "options"):
+        for verb in "get put post delete patch head options".split():
             if not isinstance(op := item.get(verb), dict):
                 continue
             lines = [f"[Operation: {verb.upper()} {route}] {op.get('summary') or op.get('operationId') or ''}".strip()]

@@ -120,7 +120,7 @@ def describe(data: bytes) -> dict:
         kind = "bmp"
     else:
         (px, text), kind = png(data), "png"
-    return {"kind": kind, "width": px.shape[1], "height": px.shape[0], "features": features(px.astype(np.float64).astype(np.int64)), "text": "; ".join(f"{k}: {v}" for k, v in text.items()) or None}
+    return {"kind": kind, "width": px.shape[1], "height": px.shape[0], "features": features(px.astype(np.float64).astype(np.int64)), "text": "; ".join(map(": ".join, text.items())) or None}
 
 
 def read(files: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def _bodies(message) -> list[str]:
         return [html_to_text(message.get_content())]
     if kind == "text/calendar":
         found = re.findall(r"^(SUMMARY|DTSTART|DTEND|LOCATION)[^:\n]*:(.*)$", message.get_content(), re.M)
-        return ["[Event] " + " | ".join(f"{k.title()}: {v.strip()}" for k, v in found)]
+        return ["[Event] " + " | ".join(k.title() + ": " + v.strip() for k, v in found)]
     return []
 
 
@@ -47,18 +47,19 @@ def message(path: str, data: bytes, size: int = 3000) -> list[tuple[int, str]]:
     return list(enumerate(pack(cut, f"[Email {head}]", size)))
 
 
-def slack_text(text: str, users: dict[str, str]) -> str:
+def slack_text(text: str, users: dict) -> str:
     """A message's text with mentions, channels, links and entities resolved."""
-    text = re.sub(r"<@([A-Z0-9]+)(?:\|([^>]*))?>", lambda m: "@" + (m[2] or users.get(m[1], m[1])), text)
+    text = re.sub(r"<@(\w+)(?:[|]([^>]*))?>", lambda m: "@" + (m[2] or users.get(m[1], m[1])), text)
     text = re.sub(r"<#[A-Z0-9]+\|([^>]*)>", r"#\1", text)
     text = re.sub(r"<!(\w+)[^>]*>", r"@\1", text)
     text = re.sub(r"<((?:https?|mailto):[^|>]+)\|([^>]*)>", r"\2 (\1)", text)
     return html.unescape(re.sub(r"<((?:https?|mailto):[^>]+)>", r"\1", text))
 
 
-def speaker(m: dict[str, Any], users: dict[str, str]) -> str:
+def speaker(m: dict[str, Any], users: dict) -> str:
     profile = m.get("user_profile") or {}
-    return users.get(m.get("user", "")) or profile.get("display_name") or profile.get("real_name") or m.get("username") or m.get("user") or "unknown"
+    names = users.get(m.get("user", "")), *map(profile.get, ("display_name", "real_name")), m.get("username"), m.get("user")
+    return next(filter(None, names), "unknown")
 
 
 def _slack_messages(data: bytes) -> tuple[dict[str, str], list[tuple[str, dict]]]:
@@ -66,7 +67,7 @@ def _slack_messages(data: bytes) -> tuple[dict[str, str], list[tuple[str, dict]]
     if data[:2] == b"PK":
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             if "users.json" in z.namelist():
-                users = {u["id"]: u.get("profile", {}).get("display_name") or u.get("real_name") or u.get("name") or u["id"] for u in json.loads(z.read("users.json"))}
+                users = {u["id"]: (u.get("profile") or {}).get("display_name") or next(filter(None, map(u.get, ("real_name", "name", "id")))) for u in json.loads(z.read("users.json"))}
             for n in sorted(z.namelist()):
                 if re.fullmatch(r"[^/]+/\d{4}-\d\d-\d\d\.json", n):
                     found += [(n.split("/")[0], m) for m in json.loads(z.read(n))]

@@ -65,7 +65,7 @@ def workbook(path: str, data: bytes) -> list[tuple[int, str]]:
                 if header is None:
                     header = {k: v.strip() or f"Column {k + 1}" for k, v in cells.items()}
                     continue
-                body = " | ".join(f"{header.get(k, f'Column {k + 1}')}: {v.strip()}" for k, v in sorted(cells.items()) if v.strip())
+                body = " | ".join(f"{header.get(k, f'Column {k + 1}')}: " + v.strip() for k, v in sorted(cells.items()) if v.strip())
                 out.append((len(out), f"[Workbook: {name} | Sheet: {sheet} | Row {row.get('r', len(out) + 2)}] {body}"))
     return out
 
@@ -123,10 +123,10 @@ def document(path: str, data: bytes, size: int = 1200) -> list[tuple[int, str]]:
 
 
 class _Plain(HTMLParser):
-    HIDDEN, BREAKS = {"script", "style", "head"}, {"p", "br", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6"}
+    HIDDEN, BREAKS = {"script", "style", "head"}, {"p", "br", "div", "li", "tr", *(f"h{n}" for n in range(1, 7))}
 
     def __init__(self) -> None:
-        super().__init__()
+        HTMLParser.__init__(self)
         self.parts: list[str] = []
         self.hidden = 0
 

@@ -6,8 +6,8 @@ import base64
 import re
 import zlib
 
-_OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
+_OBJECT = re.compile(rb"([0-9]+)\s+([0-9]+)\s+obj\b(.*?)\bendobj", re.S)
+_STREAM = re.compile(rb"\bstream\r?\n(.*?)\s?\nendstream", re.S)
 _TOKEN = re.compile(rb"\((?:\\.|[^()\\]|\((?:\\.|[^()\\])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|[-+]?\d*\.?\d+|/[^\s/<>\[\]()]+|[A-Za-z'\"*]+", re.S)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
@@ -85,7 +85,7 @@ def pages(path: str, data: bytes) -> list[tuple[int, str]]:
         if not re.search(rb"/Type\s*/Page\b", body):
             continue
         found = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
-        refs = [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", found[1])] if found else []
+        refs = [int(x) for x in re.findall(rb"([0-9]+)\s+[0-9]+\s+R", found[1])] if found else []
         text = content_text(b"\n".join(decoded(objects[r]) for r in refs if r in objects))
         out.append((len(out) + 1, f"[Page {len(out) + 1}]\n{text}"))
     return out

@@ -56,8 +56,9 @@ class Reader:
     def __init__(self, data: bytes) -> None:
         self.data, self.at = data, 0
 
-    def take(self, n: int) -> bytes:
-        if self.at + n > len(self.data):
+    def take(self, size: int) -> bytes:
+        n = size
+        if len(self.data) < self.at + n:
             raise ValueError("the message ends too early")
         self.at += n
         return self.data[self.at - n : self.at]

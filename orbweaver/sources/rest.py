@@ -12,8 +12,8 @@ from pyspark.sql.types import StructType
 
 
 class _NoRedirect(HTTPRedirectHandler):
-    def redirect_request(self, req, fp, code, msg, headers, newurl):
-        raise ValueError(f"the server redirects to {newurl}; redirects are refused")
+    def redirect_request(self, *args):
+        raise ValueError(f"the server redirects to {args[-1]}; redirects are refused")
 
 
 def check_url(url: str, origin: str | None = None) -> str:
@@ -27,7 +27,7 @@ def check_url(url: str, origin: str | None = None) -> str:
 
 
 def fetch(url: str, token: str | None = None, timeout: float = 30.0) -> dict:
-    request = Request(url, headers={"Accept": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {}))
+    request = Request(url, headers={"Accept": "application/json"} | ({"Authorization": "Bearer " + token} if token else {}))
     with build_opener(_NoRedirect).open(request, timeout=timeout) as r:
         return json.load(r)
 

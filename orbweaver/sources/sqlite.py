@@ -27,8 +27,8 @@ def chunks(data: bytes, most: int = 500) -> Iterator[tuple[str, str, int, str]]:
     db = sqlite3.connect(":memory:")
     try:
         db.deserialize(data)
-        for kind, name, sql in db.execute("SELECT type, name, sql FROM sqlite_master WHERE type IN ('table', 'view') AND name NOT LIKE 'sqlite_%' ORDER BY type, name").fetchall():
-            quoted = '"' + name.replace('"', '""') + '"'
+        for kind, name, sql in db.execute("SELECT type, name, sql FROM sqlite_master WHERE name NOT LIKE 'sqlite_%' AND type IN ('view', 'table') ORDER BY type, name").fetchall():
+            quoted = '"{}"'.format('""'.join(name.split('"')))
             info = db.execute(f"PRAGMA table_info({quoted})").fetchall()
             yield name, "schema", 0, f"[Schema: {name}] {sql}"
             if kind == "view":

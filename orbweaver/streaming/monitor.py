@@ -113,7 +113,7 @@ def dispatch(actions: DataFrame, send: Callable[[dict], str], outbox: str, check
     return actions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def kafka_options(bootstrap: str, topics: list[str], security: str = "SASL_SSL", allow_plaintext: bool = False, username: str | None = None, password: str | None = None, keystore: str | None = None, keystore_password: str | None = None, starting: str = "earliest", max_records: int = 500) -> dict[str, str]:
+def kafka_options(bootstrap: str, topics: list[str], security: str = "SASL_SSL", allow_plaintext: bool = False, username=None, password=None, keystore=None, keystore_password=None, starting: str = "earliest", max_records: int = 500) -> dict[str, str]:
     """Checked options for the Kafka source; connections without TLS are refused unless asked for.
 
     Spark's own checkpoint takes the place of committed offsets.

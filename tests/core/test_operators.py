@@ -45,7 +45,7 @@ def test_fields():
 
 def test_tables_and_cards(spark):
     df = spark.createDataFrame([(1, 5), (2, 50), (3, None)], "id int, x int")
-    rules = [{"id": "a", "when": "x > 10", "then": {"y": "=x + 1"}}, {"id": "b", "when": "x > 1", "then": {"y": 0}}]
+    rules = [{"id": "a", "when": "x > 10", "then": {"y": "=x + 1"}}, {"then": {"y": 0}, "when": "x > 1", "id": "b"}]
     got = {r.id: r.decision for r in decide(df, DecisionTable("t", rules, "first"), date(2026, 1, 1)).collect()}
     assert (got[1]._rule, got[2].y, got[3]) == ("b", 51, None)
     with pytest.raises(Exception, match="more than one"):
@@ -54,7 +54,7 @@ def test_tables_and_cards(spark):
         DecisionTable("t", [{"id": "a"}, {"id": "a"}])
     assert DecisionTable("t", rules).version == DecisionTable("t", rules).version != DecisionTable("t", rules[:1]).version
     assert DecisionTable("t", rules).reads() == {"x"}
-    card = Scorecard("c", [{"id": "B", "field": "x", "bins": [{"when": "value <= 5", "points": 330}, {"when": "value > 5", "points": 270}], "missing_points": 300}, {"id": "M", "field": "id", "bins": [{"when": "value >= 1", "points": 300}]}], bands=[("low", 620.0), ("medium", 580.0), ("high", 0.0)])
+    card = Scorecard("c", [{"field": "x", "id": "B", "missing_points": 300, "bins": [{"points": 330, "when": "value <= 5"}, {"points": 270, "when": "value > 5"}]}, {"field": "id", "id": "M", "bins": [{"points": 300, "when": "value >= 1"}]}], bands=[("low", 620.0), ("medium", 580.0), ("high", 0.0)])
     got = {r.id: r for r in score(df, card, date(2026, 1, 1)).collect()}
     assert (got[1].score, got[1].band, got[2].score, got[2].band, got[3].score) == (630, "low", 570, "high", 600)
     assert got[3].probability == pytest.approx(1 / 51, abs=1e-6) and [r.code for r in got[2].reasons] == ["B"]
@@ -100,7 +100,7 @@ def test_masking(spark):
 
 def test_cdc(spark):
     rows = [
-        {"operationType": "update", "ns": {"db": "d", "coll": "c"}, "documentKey": {"_id": "7"}, "updateDescription": {"updatedFields": {"a": 1}, "removedFields": ["b"]}},
+        {"documentKey": {"_id": "7"}, "ns": {"coll": "c", "db": "d"}, "operationType": "update", "updateDescription": {"updatedFields": {"a": 1}, "removedFields": ["b"]}},
         {"database": "d", "table": "t", "type": "insert", "ts": 5, "data": {"id": 3}},
         {"payload": {"op": "r", "after": {"id": 4}, "source": {"db": "d", "table": "t"}, "ts_ms": 9}},
         {"op": "delete", "table": "t", "key": "k", "record": {"x": 1}},
