@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ STOPWORDS = frozenset(w for ws in _FUNCTION_WORDS.values() for w in ws.split())
 
 def tokens(text: Column) -> Column:
     """Lower-cased retrieval tokens of a text, in order, repeats kept."""
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
+    return F.regexp_extract_all(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), F.lit(TOKEN), F.lit(0))
 
 
 def query_terms(query: str) -> list[str]:
