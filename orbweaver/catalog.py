@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from orbweaver.plans import rules, search, series, text
+from orbweaver.plans import details, rules, search, series, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (search, text, rules, series):
+for _module in (search, text, rules, series, details):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
