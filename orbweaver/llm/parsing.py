@@ -88,7 +88,7 @@ def sliding_argmin(values: np.ndarray, reach: int) -> np.ndarray:
     return (np.minimum(back[:n], ahead[reach - 1 : reach - 1 + n]) & low).astype(np.int64)
 
 
-def phrase_windows(hashes: Hashes, starts: np.ndarray, ends: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def phrase_windows(hashes: Hashes, starts: np.ndarray, ends: np.ndarray, length: int, reach: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, last, trigger): runs of window starts with one trigger, for texts data[starts : ends].
 
     A window is ``length`` bytes within one text. Runs are in order and cover each window once.
@@ -96,7 +96,7 @@ def phrase_windows(hashes: Hashes, starts: np.ndarray, ends: np.ndarray, length:
     n = len(hashes.sums) - 1
     if n < length:
         return (np.zeros(0, np.int64),) * 3
-    grams = hashes.of(np.arange(n - GRAM + 1), GRAM)
+    grams = hashes.of(np.arange(n - gram + 1), gram)
     trigger = sliding_argmin(grams, reach)
     sizes = np.maximum(ends - starts - length + 1, 0)
     keep = sizes > 0

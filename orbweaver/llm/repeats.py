@@ -33,12 +33,21 @@ from pyspark.sql import functions as F
 from orbweaver.llm.parsing import GRAM, Hashes, phrase_windows, split_zones
 from orbweaver.session import cut, scratch_path
 
-#: Widths of the zones of window starts in the first and second round, and the places a trigger is chosen from.
+#: Widths of the zones of window starts in the first and second round, and the places a trigger is chosen from,
+#: for lengths of 400 bytes or more; see widths.
 ZONE, FINE, REACH = 128, 8, 320
 #: Bytes hashed at a time; texts beyond are read in overlapping blocks.
 BLOCK = 1 << 19
 
 
+def widths(length: int) -> tuple[int, int, int, int]:
+    """(zone, fine, reach, gram) for strings of ``length`` bytes: below 400 all four shrink with the length."""
+    if length < 1:
+        raise ValueError("length must be 1 byte or more")
+    zone, reach = max(1, min(ZONE, length * 8 // 25)), max(1, min(REACH, length * 4 // 5))
+    return zone, min(FINE, zone), reach, max(1, min(GRAM, length // 10))
+
+
 def text_id(text: Column) -> Column:
     """A 128-bit id of a text's bytes; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
@@ -76,13 +85,14 @@ def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def zones(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(row, core, first, last, trigger) of all zones of the texts; first and last are window starts."""
+    zone, _, reach, gram = widths(length)
     for rows, offsets, parts in _blocks(texts, length):
         data = np.frombuffer(b"".join(parts), np.uint8)
         ends = np.cumsum([len(p) for p in parts])
         starts = ends - np.array([len(p) for p in parts])
         hashes = Hashes(data, 0)
-        first, last, trigger, z = split_zones(*phrase_windows(hashes, starts, ends, length, REACH), ZONE)
-        core = hashes.of(trigger - z * ZONE, length - ZONE + 1)
+        first, last, trigger, z = split_zones(*phrase_windows(hashes, starts, ends, length, reach, gram), zone)
+        core = hashes.of(trigger - z * zone, length - zone + 1)
         where = np.searchsorted(ends, first, side="right")
         shift = np.array(offsets)[where] - starts[where]
         yield np.array(rows)[where], core, first + shift, last + shift, trigger + shift
@@ -165,15 +175,16 @@ def _whole_zones(low: int, data: np.ndarray, at: np.ndarray, length: int) -> tup
     """(core, f1, f2, at): the hash of the core and the 128-bit hash of all of each zone."""
     first, last, trigger = unpacked(at)
     one, two = Hashes(data, 0), Hashes(data, 1)
-    size = last - first + length
-    core = one.of(trigger - low - (trigger - first) // ZONE * ZONE, length - ZONE + 1)
+    size, zone = last - first + length, widths(length)[0]
+    core = one.of(trigger - low - (trigger - first) // zone * zone, length - zone + 1)
     return core, one.of(first - low, size), two.of(first - low, size), at
 
 
 def _fine_zones(low: int, data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(core, at): the zones parted into narrow ones."""
-    first, last, trigger, z = split_zones(*unpacked(at), FINE)
-    return Hashes(data, 0).of(trigger - low - z * FINE, length - FINE + 1), packed(first, last, trigger)
+    fine = widths(length)[1]
+    first, last, trigger, z = split_zones(*unpacked(at), fine)
+    return Hashes(data, 0).of(trigger - low - z * fine, length - fine + 1), packed(first, last, trigger)
 
 
 def _single_windows(low: int, data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -245,8 +256,7 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def _find(docs: DataFrame, length: int, text_col: str, digest: bool) -> DataFrame:
     spark = docs.sparkSession
-    if length < REACH + GRAM:
-        raise ValueError(f"length must be {REACH + GRAM} bytes or more")
+    widths(length)  # raises where there is none
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _distinct_texts(docs, text_col, parts).persist(StorageLevel.DISK_ONLY)
     paths = [scratch_path(spark, "repeats") for _ in range(4)]
