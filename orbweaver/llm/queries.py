@@ -48,7 +48,16 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without lines (5 words or more) that occur earlier; their places are kept."""
-    found = units.dedup_units(load(spark, sf_dir, "documents"), by="line", min_words=5)
+    return _line_dedup(spark, sf_dir, 5)
+
+
+def op6_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that occur earlier, however short; their places are kept."""
+    return _line_dedup(spark, sf_dir, 1)
+
+
+def _line_dedup(spark: SparkSession, sf_dir: str, min_words: int) -> DataFrame:
+    found = units.dedup_units(load(spark, sf_dir, "documents"), by="line", min_words=min_words)
     places = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["size"])), ",")
     return found.select("doc_id", "n_units", "n_removed", places.alias("removed"), "kept_text")
 
@@ -82,6 +91,7 @@ QUERIES = {
     "op4_token_records": op4_token_records,
     "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
+    "op6_line_dedup_all": op6_line_dedup_all,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_topk": op8_exact_topk,
     "op9_html_extraction": op9_html_extraction,
