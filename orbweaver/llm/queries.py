@@ -37,7 +37,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
 def op4_token_records(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Ids of every document, written to record files in ascending doc_id order and read back from them."""
     place = scratch_path(spark, "records")
-    manifest = records.write_records(load(spark, sf_dir, "documents"), place, path or tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    manifest = records.write_records(load(spark, sf_dir, "documents"), place, path or tokenizer_file("byte_bpe_50k.json"), end_id=2, special_as_text=False)
     return records.read_records(spark, place, manifest)
 
 

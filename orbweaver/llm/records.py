@@ -8,10 +8,13 @@ ids) as three 8-byte integers a record, so records can be read in any order.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -126,11 +129,12 @@ class WordMemo:
     SAFE = re.compile(" (?=[!-~\u00a1-\u167f\u3041-\ud7ff])")
     UNSAFE = re.compile(" (?![!-~\u00a1-\u167f\u3041-\ud7ff])")
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 400_000, special_as_text: bool = True) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.stretches, self.tokens = _Generations(most), _Generations(3 * most // 4)
         # Stretches of letters and a few marks are one or two pre-tokens. Where the tokenizer is byte-level
@@ -140,9 +144,7 @@ class WordMemo:
         first = self.tokenizer.pre_tokenizer
         self.plain = self.tokenizer.normalizer is None and isinstance(first, pre_tokenizers.ByteLevel) and not first.add_prefix_space
         self.merges = self.tokenizer.model
-        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        others = [b for b in range(256) if b not in set(printable)]
-        self.shown = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}  # a byte's letter in the vocabulary
+        self.shown = {b: ord(x) for b, x in byte_letters().items()}
 
     def _merge(self, items: list[str]) -> list[bytes]:
         if not self.plain:
@@ -159,6 +161,9 @@ class WordMemo:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, little-endian."""
+        return whole_where(texts, self.special, self._encode, self._by_words)
+
+    def _by_words(self, texts: list[str | None]) -> list[bytes]:
         cut = [[""] if not t else self.SAFE.split(t) if self.UNSAFE.search(t) else t.split(" ") for t in texts]
         need: set[str] = set()
         for p in cut:
@@ -176,9 +181,85 @@ class WordMemo:
         return [f + b"".join(map(known.__getitem__, p[1:])) for f, p in zip(first, cut, strict=True)]
 
 
+def whole_where(texts: list[str | None], special: list[str], whole, other) -> list[bytes]:
+    """``other`` of all texts, but ``whole`` of those that hold one of the special strings."""
+    marked = [i for i, t in enumerate(texts) if t and any(x in t for x in special)] if special else []
+    if not marked:
+        return other(texts)
+    out = other([None if i in set(marked) else t for i, t in enumerate(texts)])
+    for i, ids in zip(marked, whole([texts[i] for i in marked]), strict=True):
+        out[i] = ids
+    return out
+
+
+class RankBpe:
+    """A tokenizer file whose merges are read as ranks, which a faster library applies with the same result.
+
+    Merging by pairs and merging by the rank of the joined token part ways only where two tokens meet that
+    join to a token of another pair. Then that token's own bytes, merged by pairs, would stop at these two,
+    so if every token's bytes merge to that token, and ids rise with the order of the merges, the results are
+    equal. ``of`` checks that for the whole vocabulary and gives None where it does not hold.
+    """
+
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+    def __init__(self, tokenizer, ranks: dict[bytes, int], special_as_text: bool) -> None:
+        import tiktoken
+
+        self.tokenizer = tokenizer
+        tokenizer.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.dtype = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.ordinary = tiktoken.Encoding("ranks", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    @classmethod
+    def of(cls, path: str, special_as_text: bool) -> RankBpe | None:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        kind = json.loads(tokenizer.to_str())
+        model, first = kind["model"], kind["pre_tokenizer"] or {}
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if not plain or kind["normalizer"] or first.get("type") != "ByteLevel" or first.get("add_prefix_space") or not first.get("use_regex", True):
+            return None
+        letters = {x: b for b, x in byte_letters().items()}
+        vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        places = [vocab.get(a + b, -1) for a, b in merges]
+        if len(vocab) != 256 + len(merges) or any(a >= b for a, b in zip(places, places[1:])) or any(x not in letters for t in vocab for x in t):  # noqa: B905
+            return None
+        merge = tokenizer.model.tokenize
+        if min(places, default=256) < 256 or any(len(found := merge(t)) != 1 or found[0].id != i for t, i in vocab.items()):
+            return None
+        return cls(tokenizer, {bytes(letters[x] for x in t): i for t, i in vocab.items()}, special_as_text)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ranked(self, texts: list[str | None]) -> list[bytes]:
+        kind, ordinary = ("H", "I")[self.dtype.itemsize // 4], self.ordinary
+        out = [array(kind, ordinary(t) if t else ()) for t in texts]
+        if sys.byteorder != "little":
+            for x in out:
+                x.byteswap()
+        return [x.tobytes() for x in out]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, little-endian."""
+        return whole_where(texts, self.special, self._whole, self._ranked)
+
+
+@lru_cache(maxsize=1)
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for a byte in byte-level vocabularies."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 @lru_cache(maxsize=2)
-def load_memo(path: str) -> WordMemo:
-    return WordMemo(path)
+def load_encoder(path: str, special_as_text: bool = True) -> RankBpe | WordMemo:
+    """The encoder of a tokenizer file: by ranks where that is sure to be equal, else the library with a memo."""
+    return RankBpe.of(path, special_as_text) or WordMemo(path, special_as_text=special_as_text)
 
 
 # == files ==
@@ -195,7 +276,7 @@ def _names(path: str, shard: int) -> tuple[fs.FileSystem, str, str]:
     return system, f"{root}/shard-{shard:06d}.rec", f"{root}/shard-{shard:06d}.idx"
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = True) -> DataFrame:
     """Encode every text and write the records in ascending id order; returns the manifest.
 
     The manifest has one row a shard: shard, records, tokens, bytes, start (ids of all shards before).
@@ -203,7 +284,9 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     (the shared folder). A shard is written under a name of its attempt and then renamed, so a task
     that runs again leaves one whole file. Null and empty texts give a record of ``end_id`` alone
     (of no ids, where that is None); a null id is stored as the smallest integer, before all others;
-    repeated rows give a record each, in the order of their texts. Other columns are not read.
+    repeated rows give a record each, in the order of their texts. Other columns are not read. Long texts
+    are encoded whole; an empty table gives empty shards. The strings of special tokens in a text are
+    ordinary text, or (``special_as_text`` false, the library's own default) those tokens.
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -213,7 +296,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shard = context.partitionId()
-        memo = load_memo(tokenizer)
+        memo = load_encoder(tokenizer, special_as_text)
         tail = b"" if end_id is None else np.array([end_id], memo.dtype).tobytes()
         system, rec, idx = _names(path, shard)
         system.create_dir(os.path.dirname(rec), recursive=True)
@@ -221,8 +304,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         records = tokens = offset = 0
         with system.open_output_stream(rec + mark) as out, system.open_output_stream(idx + mark) as index:
             for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
                     ids = part.column(0).to_pylist()
                     coded = [x + tail for x in memo.encode(part.column(1).to_pylist())]
                     framed = _frame([struct.pack("<qB", i, memo.dtype.itemsize) + x for i, x in zip(ids, coded, strict=True)])
