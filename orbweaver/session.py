@@ -34,8 +34,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` where the cluster names one. Only where that is unset (tests,
-    local mode) a folder on this machine is made and set, once per context.
+    It is ``spark.checkpoint.dir`` where the cluster names one. Only where that is unset in local mode
+    a folder on this machine is made and set, once per context; a cluster without one is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
@@ -43,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
         got = sc._jsc.sc().getCheckpointDir()
         if got.isDefined():
             return got.get()
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="orbweaver-")
         sc.setCheckpointDir(named)
         return sc._jsc.sc().getCheckpointDir().get()
@@ -62,6 +64,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     path = scratch_path(df.sparkSession, name)
