@@ -1,11 +1,11 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations only.
 
-The corpus is read as postings (term, document, position). Test items become windows of consecutive
-words. For each window the term with the fewest corpus postings is its anchor, and only postings of
-anchors are fetched: every such posting, moved back by the anchor's offset, is a place where the
-window could begin. There the lists of the window's other terms are intersected, from the rarest on.
-Postings sit beside their document's word array, so that intersection is a look at that array, and no
-posting of a frequent term is ever moved between machines.
+Texts are cut into words once; the words are written and read by all later steps. Test items become
+windows of consecutive words. Corpus counts of the test terms say which two terms of each window are
+rarest, and the postings (term, document, position) of these terms alone are stored as the index. Each
+posting, moved back by its term's offset in a window, is a place where the window could begin; the lists
+of a window's two rarest terms are intersected, and only documents with a common place are looked at for
+the window's other words. No posting of a frequent term is ever moved between machines.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbweaver.session import cut
+from orbweaver.session import cut, drop_path, scratch_path
 
 #: Anything that is no ASCII letter or digit and no other character from U+0080 on parts words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Windows (rows of about 1 kB) that may be broadcast; beyond, postings and windows meet in a shuffle.
-BROADCAST_WINDOWS = 20_000
+#: Terms of test windows (short strings) that may be broadcast; beyond, postings and terms meet in a shuffle.
+BROADCAST_WINDOWS = 160_000
 
 
 def words(text: Column) -> Column:
@@ -27,62 +27,92 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), "")
 
 
-def _windows(items: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(wid, w array, item_ids): each distinct window of the test items with the items that hold it."""
+def _windows(items: DataFrame, size: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """((wid, w array): each distinct window of the test items; (wid, item_id): the items that hold it)."""
     w = items.select(F.col(id_col).cast("string").alias("item_id"), words(F.col(text_col)).alias("ws")).filter(F.size("ws") > 0)
     last = F.greatest(F.size("ws") - size, F.lit(0))
-    w = w.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("ws", i + 1, size))).alias("w"))
-    return w.distinct()
-
-
-def _postings(docs: DataFrame) -> DataFrame:
-    return docs.select("key", "ws", F.posexplode("ws").alias("pos", "term"))
-
-
-def _doc_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("key"), words(F.col(text_col)).alias("ws"))
-
-
-def _anchored(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, int]:
-    """(w, offset, anchor term) for each distinct window, and their number.
-
-    Corpus counts are taken for the terms of the test items only; they aggregate before any shuffle.
-    """
-    distinct = windows.select("w").distinct()
-    terms = cut(distinct.select(F.explode("w").alias("term")).distinct())
-    n_terms = terms.count()
-    vocabulary = F.broadcast(terms) if n_terms <= 8 * BROADCAST_WINDOWS else terms
-    counts = docs.select(F.explode("ws").alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    counts = terms.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
-    each = distinct.select("w", F.posexplode("w").alias("offset", "term")).join(counts, "term")
-    best = each.groupBy("w").agg(F.min_by(F.struct("offset", "term", "n"), F.struct("n", "offset")).alias("a"))
-    anchored = cut(best.filter("a.n > 0").select("w", "a.offset", "a.term"))  # a term that no document has: no occurrence
-    return anchored, anchored.count()
+    w = w.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("ws", i + 1, size))).alias("w")).distinct()
+    distinct = cut(w.select("w").distinct().withColumn("wid", F.monotonically_increasing_id()))
+    return distinct, cut(w.join(distinct, "w").select("wid", "item_id"))
+
+
+def _checked(rows: DataFrame) -> DataFrame:
+    """``rows`` (one a test term), to be broadcast if they are few enough."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_WINDOWS else rows
+
+
+class _Index:
+    """The words of a table of documents, written to the shared folder, and postings of chosen terms."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str) -> None:
+        self.spark, self.paths = docs.sparkSession, []
+        key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
+        self.words = self.stored(docs.select(key.alias("key"), words(F.col(text_col)).alias("ws")), "words")
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(scratch_path(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop(self) -> None:
+        for p in self.paths:
+            drop_path(self.spark, p)
+
+    def rarest(self, distinct: DataFrame, most: int) -> DataFrame:
+        """(wid, rank, offset, term): the ``most`` rarest words of each window all of whose words occur somewhere.
+
+        Counts are taken of the test terms only and aggregate before any shuffle.
+        """
+        terms = cut(distinct.select(F.explode("w").alias("term")).distinct())
+        counts = self.words.select(F.explode("ws").alias("term")).join(_checked(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+        each = distinct.select("wid", F.posexplode("w").alias("offset", "term")).join(counts, "term", "left")
+        lists = each.groupBy("wid").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))).alias("l"))  # a window's words
+        return cut(lists.filter(F.col("l")[0]["n"] > 0).select("wid", F.posexplode(F.slice("l", 1, most)).alias("rank", "x")).select("wid", "rank", "x.offset", "x.term"))
+
+    def postings(self, chosen: DataFrame) -> DataFrame:
+        """(term, key, pos) of the terms in ``chosen``, stored."""
+        terms = cut(chosen.select("term").distinct())
+        return self.stored(self.words.select("key", F.posexplode("ws").alias("pos", "term")).join(_checked(terms), "term", "left_semi"), "postings")
+
+    def verified(self, found: DataFrame, distinct: DataFrame, fits) -> DataFrame:
+        """(key, wid, at, n) of those rows of ``found`` (wid, key, at) for which fits(words, at, window) holds; n is the window's length.
+
+        The places of a document are looked at beside its words, in one row.
+        """
+        per = found.join(distinct, "wid").groupBy("key").agg(F.collect_set(F.struct("wid", "at", "w")).alias("xs"))  # of one document
+        rows = self.words.join(per, "key").select("key", F.filter("xs", lambda x: fits(F.col("ws"), x["at"], x["w"])).alias("xs"))
+        return rows.select("key", F.explode("xs").alias("x")).select("key", "x.wid", "x.at", F.size("x.w").alias("n"))
+
+    def phrases(self, distinct: DataFrame) -> DataFrame:
+        """(wid, key, start): every place where a window occurs."""
+        chosen = self.rarest(distinct, 2)
+        postings = self.postings(chosen)
+        n = chosen.groupBy("wid").agg(F.count("*").alias("lists"))
+        lists = cut(chosen.join(n, "wid"))
+        placed = postings.join(lists, "term").select("wid", "rank", "lists", "key", (F.col("pos") - F.col("offset")).alias("at")).filter("at >= 0")
+        # one list for each rank: what stands in all of a window's lists is kept
+        both = placed.groupBy("wid", "key", "at").agg(F.count_distinct("rank").alias("n"), F.first("lists").alias("lists")).filter("n = lists")
+        rows = self.verified(cut(both.select("wid", "key", "at")), distinct, lambda ws, at, w: F.slice(ws, at + 1, F.size(w)) == w)
+        return rows.select("wid", "key", F.col("at").alias("start"), F.col("n").alias("length"))
 
 
 def occurrences(docs: DataFrame, items: DataFrame, size: int = 8, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(key, item_id, start, length): each place in a document where a window of a test item occurs, exactly.
 
     A window is ``size`` consecutive words of an item; an item of fewer words, but not none, is one
-    window. Every document and every position is looked at.
+    window. Every document and every position is looked at; key is the document's id. Texts may be of
+    any length; null and empty ones and empty tables have no occurrences.
     """
-    base = _doc_words(docs, id_col, text_col)
-    windows = cut(_windows(items, size, item_id_col, item_text_col))
-    anchored, n = _anchored(base, windows)
-    small = n <= BROADCAST_WINDOWS
-    grouped = anchored.groupBy("term").agg(F.collect_list(F.struct("w", "offset")).alias("ws_at"))
-    side = F.broadcast(grouped) if small else grouped
-    if small:
-        hits = _postings(base).join(side, "term")
-        hits = hits.select("key", "ws", "pos", F.explode("ws_at").alias("x")).select("key", (F.col("pos") - F.col("x.offset")).alias("start"), F.col("x.w").alias("w"), "ws")
-        hits = hits.filter("start >= 0 AND slice(ws, start + 1, size(w)) = w").select("key", "start", "w")
-    else:  # too many windows for every machine to hold: carry only the words around a posting
-        near = _postings(base).select("key", "pos", "term", F.slice("ws", F.greatest(F.col("pos") - size + 2, F.lit(1)), 2 * size - 1).alias("around"), F.least(F.col("pos"), F.lit(size - 1)).alias("before"))
-        hits = near.join(anchored, "term").filter("offset <= before AND slice(around, before - offset + 1, size(w)) = w")
-        hits = hits.select("key", (F.col("pos") - F.col("offset")).alias("start"), "w")
-    named = windows.join(anchored.select("w"), "w", "left_semi") if not small else windows
-    named = F.broadcast(named) if small else named
-    return hits.join(named, "w").select("key", "item_id", "start", F.size("w").alias("length"))
+    index = _Index(docs, id_col, text_col)
+    try:
+        return _occurrences(index, items, size, item_id_col, item_text_col).select("key.id", "item_id", "start", "length").withColumnRenamed("id", "key")
+    finally:
+        index.drop()
+
+
+def _occurrences(index: _Index, items: DataFrame, size: int, item_id_col: str, item_text_col: str) -> DataFrame:
+    distinct, named = _windows(items, size, item_id_col, item_text_col)
+    return cut(index.phrases(distinct).join(named, "wid").select("key", "item_id", "start", "length").distinct())
 
 
 def proximity(docs: DataFrame, items: DataFrame, within: int = 16, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = 4) -> DataFrame:
@@ -90,13 +120,20 @@ def proximity(docs: DataFrame, items: DataFrame, within: int = 16, id_col: str =
 
     ``start`` is the position of the window's rarest word; ``within`` counts to either side of it.
     """
-    base = _doc_words(docs, id_col, text_col)
-    windows = cut(_windows(items, size, item_id_col, item_text_col))
-    anchored, n = _anchored(base, windows)
-    side = F.broadcast(anchored) if n <= BROADCAST_WINDOWS else anchored
-    near = _postings(base).select("key", "pos", "term", F.slice("ws", F.greatest(F.col("pos") - within + 1, F.lit(1)), within + 1 + F.least(F.col("pos"), F.lit(within))).alias("around"))
-    hits = near.join(side, "term").filter(F.size(F.array_except("w", "around")) == 0)
-    return hits.join(windows, "w").select("key", "item_id", F.col("pos").alias("start")).distinct()
+    index = _Index(docs, id_col, text_col)
+    try:
+        distinct, named = _windows(items, size, item_id_col, item_text_col)
+        chosen = index.rarest(distinct, 1)
+        found = index.postings(chosen).join(chosen, "term").select("wid", "key", F.col("pos").alias("at"))
+
+        def near(ws: Column, at: Column, w: Column) -> Column:
+            around = F.slice(ws, F.greatest(at - within + 1, F.lit(1)), within + 1 + F.least(at, F.lit(within)))
+            return F.size(F.array_except(w, around)) == 0
+
+        hits = index.verified(found, distinct, near)
+        return cut(hits.join(named, "wid").select(F.col("key.id").alias("key"), "item_id", F.col("at").alias("start")).distinct())
+    finally:
+        index.drop()
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 8, min_items: int = 2, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -106,10 +143,17 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 8, min_items: i
     windows; items_sha256 is over their ids, sorted as strings and comma-joined; a document is
     contaminated from ``min_items`` items on. Null and empty texts have no words. Rows with the same
     id and text are the same document and get the same result; rows that share an id but not a text
-    are told apart. Null ids, empty tables and other columns of any name do no harm.
+    are told apart. Texts of any length are read whole. Null ids, empty tables and other columns of any
+    name do no harm.
     """
-    docs = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h")).alias("key"), F.col(text_col).alias("text"))
-    found = cut(occurrences(docs, items, size, "key", "text", item_id_col, item_text_col).distinct())
+    index = _Index(docs, id_col, text_col)
+    try:
+        return _contamination(index, _occurrences(index, items, size, item_id_col, item_text_col), min_items, id_col)
+    finally:
+        index.drop()
+
+
+def _contamination(index: _Index, found: DataFrame, min_items: int, id_col: str) -> DataFrame:
     # of the words between two starts, each is hit once: count new ones by the furthest end so far
     order = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.groupBy("key", "start").agg(F.max("length").alias("length"))
@@ -117,16 +161,16 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 8, min_items: i
     spans = spans.withColumn("new", F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce(F.max("end").over(order), F.lit(0))), F.lit(0)))
     hit = spans.groupBy("key").agg(F.sum("new").alias("n_hit"))
     named = found.select("key", "item_id").distinct().groupBy("key").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("items"))
-    facts = hit.join(named, "key").select(F.col("key.id").alias("fid"), F.col("key.h").alias("fh"), "n_hit", "n_items", "items")
-    counted = docs.select(F.col("key.id").alias(id_col), F.col("key.h").alias("__h"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    return counted.join(facts, F.col(id_col).eqNullSafe(F.col("fid")) & (F.col("__h") == F.col("fh")), "left").select(
-        id_col,
+    counted = index.words.select("key", F.size("ws").cast("long").alias("n_words"))
+    out = counted.join(cut(hit.join(named, "key")), "key", "left").select(
+        F.col("key.id").alias(id_col),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (F.coalesce("n_items", F.lit(0)) >= min_items).alias("contaminated"),
     )
+    return cut(out)
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = 8, min_items: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,7 +180,7 @@ def clean(docs: DataFrame, items: DataFrame, size: int = 8, min_items: int = 2,
     ``min_items`` items (which counts for items too short to have a whole window: one such phrase
     alone may be chance). Documents that share an id share their fate; null ids are an id too.
     """
-    found = occurrences(docs.select(id_col, text_col), items, size, id_col, text_col)
+    found = occurrences(docs, items, size, id_col, text_col)
     per = found.groupBy("key").agg(F.max("length").alias("longest"), F.count_distinct("item_id").alias("n_items"))
     bad = per.filter((F.col("longest") >= size) | (F.col("n_items") >= min_items)).select(F.col("key").alias("__bad"))
     return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")

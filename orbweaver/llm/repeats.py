@@ -27,11 +27,11 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbweaver.llm.parsing import GRAM, Hashes, phrase_windows, split_zones
-from orbweaver.session import cut, scratch_path
+from orbweaver.session import cut, drop_path, scratch_path
 
 #: Widths of the zones of window starts in the first and second round, and the places a trigger is chosen from,
 #: for lengths of 400 bytes or more; see widths.
@@ -195,11 +195,6 @@ def _single_windows(low: int, data: np.ndarray, at: np.ndarray, length: int) ->
     return Hashes(data, 0).of(p - low, length), Hashes(data, 1).of(p - low, length), p
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def _staged(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -282,7 +277,7 @@ def _find(docs: DataFrame, length: int, text_col: str, digest: bool) -> DataFram
     finally:
         texts.unpersist()
         for p in paths:
-            _drop(spark, p)
+            drop_path(spark, p)
 
 
 def repeats_report(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
