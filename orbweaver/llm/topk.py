@@ -23,6 +23,8 @@ from orbweaver.session import cut
 #: Vectors in a block; a pair of blocks makes a score matrix of this size squared at most.
 BLOCK = 1024
 BINS = 512
+#: Shares of the candidates for each task, so that their sizes even out.
+SPREAD = 2
 
 
 def quantised(embedding: Column, scale: int = 256) -> Column:
@@ -50,9 +52,15 @@ def _matrix(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return i, np.frombuffer(data, "<i8").reshape(len(i), dim)
 
 
+def _largest(x: np.ndarray) -> int:
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
 def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact integer products; by doubles where every partial sum is an exact one."""
-    most = int(np.abs(q).max(initial=0)) * int(np.abs(v).max(initial=0)) * max(1, q.shape[1])
+    """Exact integer products; by doubles where every partial sum is an exact one. Products past 64 bits raise."""
+    most = _largest(q) * _largest(v) * max(1, q.shape[1])
+    if most >= 1 << 62:
+        raise ValueError("an inner product of these components may not fit 64 bits")
     return np.rint(q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64) if most < 1 << 52 else q @ v.T
 
 
@@ -62,15 +70,26 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
     Both tables have an id (long) and a vector (array<long>). A query is no candidate of its own (the
     row with its id). Null vectors and null ids take no part; vectors of another size than the query's
     are no candidates; fewer than k candidates are all returned; repeated rows count as often as they
-    stand. Empty tables give an empty result.
+    stand, and a repeated query gets its list once for each of its rows. Components whose products could
+    pass 64 bits raise. Vectors of any length take part; other columns of any name do no harm; empty
+    tables give an empty result.
     """
     spark = queries.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     clean = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
     # blocks are whole tables of a few rows; candidates are dealt over all tasks, and each meets the query blocks one by one
     q = cut(_blocks(clean(queries), "q", max(1, parts // 4)).withColumn("block", F.monotonically_increasing_id()))
-    c = cut(_blocks(clean(candidates), "c", parts))
-    pairs = c.join(q, "dim")  # a stated query set against all rows, block by block
+    c = cut(_blocks(clean(candidates), "c", 2 * parts))
+    # A stated query set against all rows, block by block. Candidates are dealt over SPREAD shares a task, each of which
+    # gets every query block: candidates move once, queries once a share, and no share holds more than its part.
+    shares = SPREAD * parts
+    dealt = c.withColumn("share", F.pmod(F.xxhash64("c_ids"), F.lit(shares)))
+    every = q.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<bigint>")))
+
+    def meet(ranges: DataFrame) -> DataFrame:
+        """Each block of candidates beside each block of queries with its ranges."""
+        asked = every.join(packed(ranges), "block").repartition(2 * parts, "share", "dim")
+        return dealt.repartition(2 * parts, "share", "dim").join(asked, ["share", "dim"])
 
     reach = q.select(F.col("block"), "q_ids", "q_data", "dim")
 
@@ -126,8 +145,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
         open_ = ranges.filter("high > low")
         if open_.isEmpty():
             break
-        todo = pairs.join(packed(ranges), "block")
-        counts = todo.select("q_ids", "q_data", "c_ids", "c_data", "dim", "block", "ranges").mapInPandas(count, "block long, slot int, bin int, n long")
+        counts = meet(ranges).select("q_ids", "q_data", "c_ids", "c_data", "dim", "block", "ranges").mapInPandas(count, "block long, slot int, bin int, n long")
         counts = counts.groupBy("block", "slot", "bin").agg(F.sum("n").alias("n"))
         counts = counts.withColumn("upto", F.sum("n").over(top_down)).join(ranges, ["block", "slot"])
         width = F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / BINS))
@@ -152,6 +170,6 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
                 rows, cols = rows[keep], cols[keep]
                 yield pd.DataFrame({"query_id": qi[rows], "slot": rows.astype(np.int64), "block": np.full(len(rows), r.block, np.int64), "id": ci[cols], "score": s[rows, cols]})
 
-    found = pairs.join(packed(ranges), "block").select("q_ids", "q_data", "c_ids", "c_data", "dim", "block", "ranges").mapInPandas(pick, "query_id long, slot long, block long, id long, score long")
+    found = meet(ranges).select("q_ids", "q_data", "c_ids", "c_data", "dim", "block", "ranges").mapInPandas(pick, "query_id long, slot long, block long, id long, score long")
     best = F.row_number().over(Window.partitionBy("block", "slot").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
