@@ -17,9 +17,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): for each node of ``edges`` (a, b: long) the smallest node it reaches.
 
     Alternates large-star and small-star rounds until the edges are stars around the smallest
-    node. Neighbourhoods are only aggregated to their minimum and joined back, so a star centre
-    with very many leaves is a skewed join, which adaptive execution splits, and never a group
-    held by one task. Each round is checkpointed. Null ends and loops are ignored; an empty table
+    node. Neighbourhoods are only aggregated to their minimum, which is written and joined back, so
+    both sides of that join are plain shuffles: a star centre with very many leaves is a skewed
+    join, which adaptive execution splits, and never a group held by one task. Each round is checkpointed. Null ends and loops are ignored; an empty table
     has no components.
     """
     e = cut(edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -27,10 +27,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # large star: link each larger neighbour to the smallest neighbour
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        e = both.join(low, "a").filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        e = cut(both.join(low, "a").filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # small star: link the smaller neighbours, and the node itself, to the smallest of them
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
+        low = cut(e.groupBy("a").agg(F.min("b").alias("m")))
         e = e.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x"))
         e = cut(e.select("x.*").filter("a <> b").distinct())
         now = _state(e)

@@ -29,6 +29,8 @@ from orbweaver.session import cut
 
 GENERATOR = 0b110001110101  # x^11+x^10+x^6+x^5+x^4+x^2+1
 WIDTHS = (22, 21, 21)
+#: The segment that the keys of each family say nothing of.
+LEFT_OUT = (2, 1, 1, 0, 0)
 SEED = 42
 
 
@@ -166,9 +168,9 @@ def bucket_links(key: np.ndarray, fps: np.ndarray, distance: int = 3, small: int
     """Links within buckets, given rows sorted by key.
 
     Buckets of up to ``small`` rows are compared pair by pair, all at once; larger ones by a walk
-    that yields a spanning forest. Beyond ``large`` rows a bucket of the first family is parted
-    before that: by the third segment's fuzzy keys, which find up to two errors there, and by the
-    exact first two segments, which find the rest (three errors in the third leave none for them).
+    that yields a spanning forest. Beyond ``large`` rows a bucket is parted before that: by the fuzzy
+    keys of the segment its key leaves out, which find up to two errors there, and by the other two
+    segments as they are, which find the rest (three errors in the one leave none for them).
     """
     out_a, out_b = [], []
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -181,16 +183,18 @@ def bucket_links(key: np.ndarray, fps: np.ndarray, distance: int = 3, small: int
         out_b.append(fps[i[near] + s])
     for k in np.flatnonzero(sizes > small):
         group = fps[starts[k] : starts[k] + sizes[k]]
-        if len(group) > large and key[starts[k]] >> 40 == 0:
-            third = (group >> np.uint64(WIDTHS[0] + WIDTHS[1])).astype(np.int64)
-            sub = golay_indices(third)
+        if len(group) > large:
+            out = LEFT_OUT[int(key[starts[k]] >> 40)]
+            low, width = sum(WIDTHS[:out]), WIDTHS[out]
+            mask = np.uint64((1 << width) - 1) << np.uint64(low)
+            sub = golay_indices(((group & mask) >> np.uint64(low)).astype(np.int64))
             rows = np.repeat(np.arange(len(group)), 6)
             order = np.argsort(sub.ravel(), kind="stable")
             cuts = np.flatnonzero(np.diff(sub.ravel()[order])) + 1
             parts = [np.unique(group[r]) for r in np.split(rows[order], cuts)]
-            low = group & np.uint64((1 << WIDTHS[0] + WIDTHS[1]) - 1)
-            order = np.argsort(low, kind="stable")
-            parts += np.split(group[order], np.flatnonzero(np.diff(low[order])) + 1)
+            rest = group & ~mask
+            order = np.argsort(rest, kind="stable")
+            parts += np.split(group[order], np.flatnonzero(np.diff(rest[order])) + 1)
         else:
             parts = [group]
         for part in parts:
@@ -260,15 +264,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
     Fingerprints are grouped before any search, so copies meet as one row; components are found
     among distinct fingerprints. Null texts and texts without words have fingerprint zero and link
     like any other. Repeated rows stay rows of their own. A null id never is a component's id; a
-    component of null ids only has null. An empty table gives an empty result. Columns of other
-    names are not looked at.
+    component of null ids only has null. Texts of any length are read whole. An empty table gives an
+    empty result. Columns of other names are not looked at.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col), shingle).alias("fp"))
     base = cut(base)
     reps = base.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     comps = components(links(reps.select("fp"), distance))
     placed = reps.join(comps, reps.fp == comps.node, "left").select("fp", "rep", "copies", F.coalesce("component", "fp").alias("label"))
-    roots = placed.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("component_size"))
+    placed = cut(placed)  # both sides of the join below are then plain shuffles, and a large component can be split
+    roots = cut(placed.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("component_size")))
     named = cut(placed.join(roots, "label").select("fp", "component_id", "component_size"))
     return base.join(named, "fp")
 
