@@ -42,57 +42,64 @@ def _checked(rows: DataFrame) -> DataFrame:
 
 
 class _Index:
-    """The words of a table of documents, written to the shared folder, and postings of chosen terms."""
+    """The words of a table of documents, written to the shared folder, and postings of chosen terms.
+
+    doc numbers the stored rows; key is the document's id and the hash of its text.
+    """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str) -> None:
         self.spark, self.paths = docs.sparkSession, []
         key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
-        self.words = self.stored(docs.select(key.alias("key"), words(F.col(text_col)).alias("ws")), "words")
+        self.words = self.stored(docs.select(F.monotonically_increasing_id().alias("doc"), key.alias("key"), words(F.col(text_col)).alias("ws")), "words")
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         self.paths.append(scratch_path(self.spark, name))
-        df.write.parquet(self.paths[-1])
+        df.write.option("compression", "zstd").parquet(self.paths[-1])
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
     def drop(self) -> None:
         for p in self.paths:
             drop_path(self.spark, p)
 
-    def rarest(self, distinct: DataFrame, most: int) -> DataFrame:
-        """(wid, rank, offset, term): the ``most`` rarest words of each window all of whose words occur somewhere.
+    def rarest(self, distinct: DataFrame) -> DataFrame:
+        """(wid, first, second): term and offset of the two rarest words of each window all of whose words occur somewhere.
 
-        Counts are taken of the test terms only and aggregate before any shuffle.
+        second is null where a window has one word. Counts are taken of the test terms only and aggregate
+        before any shuffle.
         """
         terms = cut(distinct.select(F.explode("w").alias("term")).distinct())
         counts = self.words.select(F.explode("ws").alias("term")).join(_checked(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
         each = distinct.select("wid", F.posexplode("w").alias("offset", "term")).join(counts, "term", "left")
         lists = each.groupBy("wid").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))).alias("l"))  # a window's words
-        return cut(lists.filter(F.col("l")[0]["n"] > 0).select("wid", F.posexplode(F.slice("l", 1, most)).alias("rank", "x")).select("wid", "rank", "x.offset", "x.term"))
+        return cut(lists.filter(F.col("l")[0]["n"] > 0).select("wid", F.get("l", F.lit(0)).alias("first"), F.get("l", F.lit(1)).alias("second")))
 
-    def postings(self, chosen: DataFrame) -> DataFrame:
-        """(term, key, pos) of the terms in ``chosen``, stored."""
-        terms = cut(chosen.select("term").distinct())
-        return self.stored(self.words.select("key", F.posexplode("ws").alias("pos", "term")).join(_checked(terms), "term", "left_semi"), "postings")
+    def postings(self, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """((tid, doc, pos): the postings of the terms (column term) of ``chosen``, stored; (tid, term))."""
+        terms = cut(chosen.select("term").filter("term IS NOT NULL").distinct().withColumn("tid", F.monotonically_increasing_id()))
+        found = self.words.select("doc", F.posexplode("ws").alias("pos", "term")).join(_checked(terms), "term")
+        return self.stored(found.select("tid", "doc", "pos"), "postings"), terms
 
     def verified(self, found: DataFrame, distinct: DataFrame, fits) -> DataFrame:
-        """(key, wid, at, n) of those rows of ``found`` (wid, key, at) for which fits(words, at, window) holds; n is the window's length.
+        """(key, wid, at, n) of those rows of ``found`` (wid, doc, at) for which fits(words, at, window) holds; n is the window's length.
 
         The places of a document are looked at beside its words, in one row.
         """
-        per = found.join(distinct, "wid").groupBy("key").agg(F.collect_set(F.struct("wid", "at", "w")).alias("xs"))  # of one document
-        rows = self.words.join(per, "key").select("key", F.filter("xs", lambda x: fits(F.col("ws"), x["at"], x["w"])).alias("xs"))
+        per = found.join(distinct, "wid").groupBy("doc").agg(F.collect_set(F.struct("wid", "at", "w")).alias("xs"))  # of one document
+        rows = self.words.join(per, "doc").select("key", F.filter("xs", lambda x: fits(F.col("ws"), x["at"], x["w"])).alias("xs"))
         return rows.select("key", F.explode("xs").alias("x")).select("key", "x.wid", "x.at", F.size("x.w").alias("n"))
 
     def phrases(self, distinct: DataFrame) -> DataFrame:
-        """(wid, key, start): every place where a window occurs."""
-        chosen = self.rarest(distinct, 2)
-        postings = self.postings(chosen)
-        n = chosen.groupBy("wid").agg(F.count("*").alias("lists"))
-        lists = cut(chosen.join(n, "wid"))
-        placed = postings.join(lists, "term").select("wid", "rank", "lists", "key", (F.col("pos") - F.col("offset")).alias("at")).filter("at >= 0")
-        # one list for each rank: what stands in all of a window's lists is kept
-        both = placed.groupBy("wid", "key", "at").agg(F.count_distinct("rank").alias("n"), F.first("lists").alias("lists")).filter("n = lists")
-        rows = self.verified(cut(both.select("wid", "key", "at")), distinct, lambda ws, at, w: F.slice(ws, at + 1, F.size(w)) == w)
+        """(wid, key, start, length): every place where a window occurs."""
+        chosen = self.rarest(distinct)
+        postings, terms = self.postings(chosen.select("first.term").union(chosen.select("second.term")))
+        a, b = (terms.select(F.col("tid").alias(f"tid{k}"), F.col("term").alias(f"term{k}")) for k in (1, 2))
+        lists = chosen.join(a, F.col("first.term") == F.col("term1")).join(b, F.col("second.term") == F.col("term2"), "left")
+        lists = cut(lists.select("wid", F.col("tid1").alias("tid"), F.col("first.offset").alias("offset"), "tid2", (F.col("second.offset") - F.col("first.offset")).alias("step")))
+        # the rarest term's list, moved to where a window would begin, and of it what the next list agrees with
+        placed = postings.join(_checked(lists), "tid").filter("pos >= offset").select("wid", "doc", (F.col("pos") - F.col("offset")).alias("at"), F.col("tid2").alias("tid"), (F.col("pos") + F.col("step")).alias("pos"))
+        agreed = placed.filter("tid IS NOT NULL").join(postings, ["tid", "doc", "pos"], "left_semi")
+        found = cut(agreed.unionByName(placed.filter("tid IS NULL")).select("wid", "doc", "at"))
+        rows = self.verified(found, distinct, lambda ws, at, w: F.slice(ws, at + 1, F.size(w)) == w)
         return rows.select("wid", "key", F.col("at").alias("start"), F.col("n").alias("length"))
 
 
@@ -123,8 +130,9 @@ def proximity(docs: DataFrame, items: DataFrame, within: int = 16, id_col: str =
     index = _Index(docs, id_col, text_col)
     try:
         distinct, named = _windows(items, size, item_id_col, item_text_col)
-        chosen = index.rarest(distinct, 1)
-        found = index.postings(chosen).join(chosen, "term").select("wid", "key", F.col("pos").alias("at"))
+        chosen = index.rarest(distinct).select("wid", "first.term")
+        postings, terms = index.postings(chosen)
+        found = postings.join(_checked(cut(chosen.join(terms, "term"))), "tid").select("wid", "doc", F.col("pos").alias("at"))
 
         def near(ws: Column, at: Column, w: Column) -> Column:
             around = F.slice(ws, F.greatest(at - within + 1, F.lit(1)), within + 1 + F.least(at, F.lit(within)))
