@@ -23,8 +23,6 @@ from orbweaver.session import cut
 #: Vectors in a block; a pair of blocks makes a score matrix of this size squared at most.
 BLOCK = 1024
 BINS = 512
-#: Shares of the candidates for each task, so that their sizes even out.
-SPREAD = 2
 
 
 def quantised(embedding: Column, scale: int = 256) -> Column:
@@ -79,17 +77,18 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
     clean = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
     # blocks are whole tables of a few rows; candidates are dealt over all tasks, and each meets the query blocks one by one
     q = cut(_blocks(clean(queries), "q", max(1, parts // 4)).withColumn("block", F.monotonically_increasing_id()))
-    c = cut(_blocks(clean(candidates), "c", 2 * parts))
-    # A stated query set against all rows, block by block. Candidates are dealt over SPREAD shares a task, each of which
-    # gets every query block: candidates move once, queries once a share, and no share holds more than its part.
-    shares = SPREAD * parts
+    c = clean(candidates)
+    shares = max(1, min(parts, -(-c.count() // BLOCK)))
+    c = cut(_blocks(c, "c", shares))
+    # A stated query set against all rows, block by block. Candidates are dealt over shares, each of which gets every
+    # query block: candidates move once, queries once a share, and no share holds more than its part.
     dealt = c.withColumn("share", F.pmod(F.xxhash64("c_ids"), F.lit(shares)))
     every = q.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<bigint>")))
 
     def meet(ranges: DataFrame) -> DataFrame:
         """Each block of candidates beside each block of queries with its ranges."""
-        asked = every.join(packed(ranges), "block").repartition(2 * parts, "share", "dim")
-        return dealt.repartition(2 * parts, "share", "dim").join(asked, ["share", "dim"])
+        asked = every.join(packed(ranges), "block").repartition(2 * shares, "share", "dim")
+        return dealt.repartition(2 * shares, "share", "dim").join(asked, ["share", "dim"])
 
     reach = q.select(F.col("block"), "q_ids", "q_data", "dim")
 
