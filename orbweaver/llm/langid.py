@@ -1,7 +1,7 @@
 """Language identification: known words first, then ever shorter character n-grams.
 
-The model holds, for each language seen in the learning rows, the log frequency of its most frequent
-words and of the n-grams (5 down to 1 characters, word ends marked) of its words. A word that is known
+The model holds, for each language seen in the learning rows, the log frequency of its words and of
+the n-grams (5 down to 1 characters, word ends marked) of its words. A word that is known
 adds its log frequencies; an unseen word adds the mean over its longest n-grams of which any is known.
 """
 
@@ -14,13 +14,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The model learns from about this many documents a language, chosen by a hash of their id; the
-#: tables of a language keep this many words and n-grams of each length (what is rarer backs off).
-LEARN_DOCS, WORDS, GRAMS, LANGUAGES = 1500, 20_000, 6_000, 200
-#: The frequency of what a language was never seen to have, the same for all however much each had.
+from orbweaver.session import cut
+
+#: The model learns from about this many labelled documents a language, chosen by a hash of their id.
+LEARN_DOCS = 1500
+#: The frequency of what a language was never seen to have, the same for all however much each had. What is
+#: less than twice as frequent tells nothing of a language: it is left out, and words back off to n-grams.
 FLOOR = 1e-6
 ORDERS = (5, 4, 3, 2, 1)
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -93,11 +95,11 @@ class Model:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Learn from rows with a text and a language.
 
-    The sample is bounded (LEARN_DOCS a language, by id hash), counting is distributed, and only the
-    most frequent entries of each table (WORDS, GRAMS) come to the driver.
+    The sample of labelled rows is bounded (LEARN_DOCS a language, by id hash), every language takes
+    part, counting is distributed, and the tables that come to the driver hold what the sample has.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], {}, np.zeros((0, 0)))
@@ -133,10 +135,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             yield pd.DataFrame([(*k, n) for k, n in c.items()], columns=["lang", "kind", "item", "n"])
 
     items = by_word.mapInPandas(cut_up, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
-    total = F.sum("n").over(Window.partitionBy("lang", "kind"))
-    most = F.when(F.col("kind") == 0, WORDS).otherwise(GRAMS)
-    top = items.withColumn("total", total).withColumn("place", place).filter(F.col("place") <= most).select("lang", "kind", "item", "n", "total").toPandas()
+    items = cut(items)
+    sums = items.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
+    top = items.join(F.broadcast(sums), ["lang", "kind"]).filter(F.col("n") >= 2 * FLOOR * F.col("total")).select("lang", "kind", "item", "n", "total").toPandas()  # sums: six rows a language
     index = {x: i for i, x in enumerate(languages)}
     keys = sorted(set(zip(top["kind"], top["item"], strict=True)))
     where = {k: i for i, k in enumerate(keys)}
@@ -160,7 +161,7 @@ def held_out(doc_id: Column) -> Column:
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score; only the text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS, GRAMS and LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LEARN_DOCS a language
 
     @F.pandas_udf("lang_pred string, score double")
     def of(texts: pd.Series) -> pd.DataFrame:
@@ -175,7 +176,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Learns from rows that are not held out and have a language; predictions look at texts only.
     Null texts and texts without letters are ``und`` with score 0; repeated rows stay; with nothing to
-    learn from every row is ``und``. Other columns do no harm.
+    learn from every row is ``und``. Texts of any length are read whole; an empty table gives no rows.
+    Other columns do no harm.
     """
     model = fit(docs.filter(~held_out(F.col(id_col))), text_col, lang_col, id_col)
     base = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("__text"))
