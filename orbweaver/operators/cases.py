@@ -126,12 +126,13 @@ def frequency_caps(requests: DataFrame, history: DataFrame, caps: list[tuple[str
     """(request columns, n_recent, capped, next_allowed): contacts of the past against caps (channel, most, days).
 
     A contact counts while it is strictly newer than the request less the period. '*' spans channels.
-    Past contacts are joined by subject once and counted for all caps together; only the newest
-    ``most`` times of a cap are kept, for the time of the next contact.
+    Past contacts are joined by subject once, those inside the longest period only, and counted for all
+    caps together; a request gathers its subject's contacts of that period and no others.
     """
     r = requests.withColumn("__id", F.monotonically_increasing_id())
     h = history.select(F.col(subject).alias("__s"), F.col(channel).alias("__c"), F.col(at).alias("__t"))
-    j = r.join(h, (r[subject] == h["__s"]) & (F.col("__t") <= F.col(at)), "left")
+    longest = F.expr(f"interval {max((days for _, _, days in caps), default=0)} days")
+    j = r.join(h, (r[subject] == h["__s"]) & (F.col("__t") <= F.col(at)) & (F.col("__t") > F.col(at) - longest), "left")
     aggs = []
     for i, (c, _, days) in enumerate(caps):
         mine = (F.lit(c) == "*") | (F.col("__c") == c)

@@ -27,8 +27,17 @@ def is_data_change(c: Column) -> Column:
     return c.isin(*DATA_CHANGES)
 
 
-def _get(doc: Column, *paths: str) -> Column:
-    return F.coalesce(*[F.get_json_object(doc, f"$.{p}") for p in paths])
+_ENVELOPE = "op after before source ts_ms".split()
+_FIELDS = _ENVELOPE + "payload operationType type data database fullDocument updateDescription clusterTime ts ns table documentKey primary_key key operation action record timestamp_ms".split()
+
+
+def _parsed(c: Column, names: list[str]) -> Column:
+    """The fields of a JSON object as texts, all read in one parse."""
+    return F.from_json(c, ", ".join(f"`{n}` string" for n in names))
+
+
+def _in(c: Column, path: str) -> Column:
+    return F.get_json_object(c, f"$.{path}")
 
 
 def normalise(events: DataFrame, payload: str = "payload") -> DataFrame:
@@ -36,33 +45,40 @@ def normalise(events: DataFrame, payload: str = "payload") -> DataFrame:
 
     Looks for a document store's operationType, then for type with data and database, then for op with
     before, after or source (in an envelope or not), else reads generic fields. Texts that are no JSON
-    are UNKNOWN. One projection, no shuffle.
+    are UNKNOWN. An event is parsed once, its parts where they are needed; no shuffle.
     """
-    p = F.col(payload)
-    root = F.coalesce(F.get_json_object(p, "$.payload"), p)
-    has = lambda doc, path: F.get_json_object(doc, f"$.{path}").isNotNull()
-    stream = has(p, "operationType")
-    typed = has(p, "type") & has(p, "data") & has(p, "database")
-    enveloped = has(root, "op") & (has(root, "after") | has(root, "before") | has(root, "source"))
-    kind = F.when(stream, "document").when(typed, "binlog").when(enveloped, "envelope").otherwise("generic")
-    op = operation(F.when(stream, _get(p, "operationType")).when(typed, _get(p, "type")).when(enveloped, _get(root, "op")).otherwise(_get(p, "operation", "op", "type", "action")))
-    record = (
-        F.when(stream, _get(p, "fullDocument", "updateDescription.updatedFields"))
-        .when(typed, _get(p, "data"))
-        .when(enveloped, F.when(op == "DELETE", _get(root, "before")).otherwise(_get(root, "after")))
-        .otherwise(_get(p, "record", "data", "after"))
-    )
-    millis = F.when(stream, _get(p, "clusterTime")).when(typed, (_get(p, "ts").try_cast("long") * 1000).cast("string")).when(enveloped, _get(root, "ts_ms", "source.ts_ms")).otherwise(_get(p, "timestamp_ms", "ts_ms"))
-    return events.select(
-        "*",
-        kind.alias("format"),
-        op.alias("operation"),
-        F.when(stream, _get(p, "ns.db")).when(typed, _get(p, "database")).when(enveloped, _get(root, "source.db")).otherwise(_get(p, "database")).alias("database"),
-        F.when(stream, _get(p, "ns.coll")).when(typed, _get(p, "table")).when(enveloped, _get(root, "source.table", "source.collection")).otherwise(_get(p, "table")).alias("table"),
-        F.when(stream, _get(p, "documentKey._id")).when(typed, _get(p, "primary_key.id", "data.id")).when(enveloped, _get(root, "after.id", "before.id")).otherwise(_get(p, "key", "record.id", "data.id")).alias("key"),
-        record.alias("record"),
-        F.when(stream, F.from_json(_get(p, "updateDescription.removedFields"), "array<string>")).alias("removed"),
-        (stream & has(p, "updateDescription") & ~has(p, "fullDocument")).alias("partial"),
+    df = events.withColumn("__a", _parsed(F.col(payload), _FIELDS))
+    df = df.withColumn("__r", F.when(F.col("__a.payload").isNotNull(), _parsed(F.col("__a.payload"), _ENVELOPE)).otherwise(F.struct(*[F.col(f"__a.{n}").alias(n) for n in _ENVELOPE])))
+    a, r = (lambda n: F.col(f"__a.{n}")), (lambda n: F.col(f"__r.{n}"))
+    stream = a("operationType").isNotNull()
+    typed = a("type").isNotNull() & a("data").isNotNull() & a("database").isNotNull()
+    enveloped = r("op").isNotNull() & (r("after").isNotNull() | r("before").isNotNull() | r("source").isNotNull())
+    df = df.withColumn("format", F.when(stream, "document").when(typed, "binlog").when(enveloped, "envelope").otherwise("generic"))
+
+    def pick(document: Column, binlog: Column, envelope: Column, generic: Column) -> Column:
+        f = F.col("format")
+        return F.when(f == "document", document).when(f == "binlog", binlog).when(f == "envelope", envelope).otherwise(generic)
+
+    none = F.lit(None).cast("string")
+    word = pick(a("operationType"), a("type"), r("op"), F.coalesce(a("operation"), a("op"), a("type"), a("action")))
+    df = df.withColumn("operation", operation(word))
+    image = F.when(F.col("operation") == "DELETE", r("before")).otherwise(r("after"))
+    millis = pick(a("clusterTime"), (a("ts").try_cast("long") * 1000).cast("string"), F.coalesce(r("ts_ms"), _in(r("source"), "ts_ms")), F.coalesce(a("timestamp_ms"), a("ts_ms")))
+    return df.select(
+        *events.columns,
+        "format",
+        "operation",
+        pick(_in(a("ns"), "db"), a("database"), _in(r("source"), "db"), a("database")).alias("database"),
+        pick(_in(a("ns"), "coll"), a("table"), F.coalesce(_in(r("source"), "table"), _in(r("source"), "collection")), a("table")).alias("table"),
+        pick(
+            _in(a("documentKey"), "_id"),
+            F.coalesce(_in(a("primary_key"), "id"), _in(a("data"), "id")),
+            F.coalesce(_in(r("after"), "id"), _in(r("before"), "id")),
+            F.coalesce(a("key"), _in(a("record"), "id"), _in(a("data"), "id")),
+        ).alias("key"),
+        pick(F.coalesce(a("fullDocument"), _in(a("updateDescription"), "updatedFields")), a("data"), image, F.coalesce(a("record"), a("data"), a("after"))).alias("record"),
+        F.from_json(pick(_in(a("updateDescription"), "removedFields"), none, none, none), "array<string>").alias("removed"),
+        ((F.col("format") == "document") & a("updateDescription").isNotNull() & a("fullDocument").isNull()).alias("partial"),
         millis.try_cast("long").alias("ts_ms"),
     )
 
@@ -125,3 +141,56 @@ def explode_payloads(payloads: DataFrame, col: str = "payload") -> DataFrame:
     return payloads.withColumn(col, F.explode(F.when(whole, F.array(c)).otherwise(items)))
 
 
+
+
+def after_truncates(changes: DataFrame, order: str, table: str | None = None, operation_col: str = "operation") -> DataFrame:
+    """The changes that no later truncate of their table undoes, without the truncates themselves.
+
+    A table's last truncate is one row, joined to its changes by the table.
+    """
+    by = F.col(table) if table else F.lit("")
+    rows = changes.withColumn("__table", by)
+    cuts = rows.filter(F.col(operation_col) == "TRUNCATE").groupBy("__table").agg(F.max(order).alias("__cut"))
+    rest = rows.filter(F.col(operation_col) != "TRUNCATE").join(cuts, "__table", "left")
+    return rest.filter(F.col("__cut").isNull() | (F.col(order) > F.col("__cut"))).select(*changes.columns)
+
+
+#: Names of a key where a record names none, in order.
+KEY_NAMES = ("id", "_id", "uuid", "pk", "key")
+
+
+def record_key(columns: list[str], explicit: list[str] | None = None) -> Column:
+    """The key of a record: its explicit parts joined by '|', else the first usual name, else a digest of the record.
+
+    The digest is ``h:`` and 24 hexadecimal digits of SHA-256 over the record as JSON, fields by name.
+    """
+    said = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in KEY_NAMES if c in columns]
+    digest = F.concat(F.lit("h:"), F.left(F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}).cast("binary"), 256), F.lit(24)))
+    parts = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in sorted(explicit)]) if explicit else None
+    return F.coalesce(*([parts] if parts is not None else []), *said, digest)
+
+
+#: Subtypes of chat messages that say nothing.
+NOISE = tuple(sorted({*(f"channel_{x}" for x in "archive join leave name purpose topic unarchive".split()), "group_join", "group_leave", "bot_add", "bot_remove", "pinned_item", "reminder_add"}))
+
+
+def chat_events(events: DataFrame, col: str = "event") -> DataFrame:
+    """``events`` (JSON of message events) with action (upsert, delete, ignore), message and deleted_ts.
+
+    An edited message is upserted in its new form, so that it replaces the stored one by its ts.
+    """
+    e = F.col("__e")
+    df = events.withColumn("__e", _parsed(F.col(col), "type subtype deleted_ts previous_message message text files ts".split()))
+    new_ts = F.nullif(F.get_json_object(e["message"], "$.ts"), F.lit(""))
+    gone = F.coalesce(F.nullif(e["deleted_ts"], F.lit("")), F.get_json_object(e["previous_message"], "$.ts"))
+    empty = F.coalesce(F.nullif(e["text"], F.lit("")), F.nullif(e["files"], F.lit("[]"))).isNull()
+    action = (
+        F.when(e["type"].isNull() | (e["type"] != "message"), "ignore")
+        .when(e["subtype"] == "message_deleted", "delete")
+        .when(e["subtype"] == "message_changed", F.when(new_ts.isNotNull(), "upsert").otherwise("ignore"))
+        .when(F.coalesce(e["subtype"].isin(*NOISE), F.lit(False)) | empty, "ignore")
+        .otherwise("upsert")
+    )
+    df = df.withColumn("action", action)
+    message = F.when(F.col("action") == "upsert", F.when(e["subtype"] == "message_changed", e["message"]).otherwise(F.col(col)))
+    return df.withColumn("message", message).withColumn("deleted_ts", F.when(F.col("action") == "delete", gone)).drop("__e")

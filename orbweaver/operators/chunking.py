@@ -9,20 +9,27 @@ import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbweaver.session import cut
+
 
 def word_chunks(text: Column, size: int = 80, overlap: int = 12) -> Column:
-    """Windows of ``size`` words, each ``overlap`` words into the one before; the last reaches the end."""
+    """Windows of ``size`` words, each ``overlap`` words into the one before; the last reaches the end.
+
+    The words are the variable of a lambda, so that a text is split once and not once a chunk.
+    """
     if not 0 <= overlap < size:
         raise ValueError("the overlap is smaller than a chunk, and not negative")
     step = max(1, size - overlap)
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    count = F.when(n == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / step) + 1).cast("int")
-    starts = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: i * step)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, size), " "))
+
+    def windows(ws: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(ws) - size) / step), F.lit(0)).cast("int")
+        return F.when(F.size(ws) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(ws, i * step + 1, size), " ")))
+
+    return F.get(F.transform(F.array(words), windows), F.lit(0))
 
 
 def chunk_words(docs: DataFrame, size: int = 80, overlap: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,15 +175,100 @@ def chunk_documents(docs: DataFrame, f: Callable[..., list[str]] = chunk_any, id
 def row_groups(df: DataFrame, narrative: Column, order: str, n: int, group: str | None = None) -> DataFrame:
     """(group, chunk_index, chunk): n narratives a chunk, in order.
 
-    The place of a row comes from its own order column (0, 1, ...), so no global sort is needed.
+    The order column counts rows without gaps (0, 1, ...); see ranked for one that does.
     """
     keys = ([F.col(group)] if group else []) + [F.floor(F.col(order) / n).alias("chunk_index")]
     rows = df.withColumn("__n", narrative).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__n").alias("t")))).alias("r"))
     return rows.withColumn("chunk", F.array_join(F.transform("r", lambda x: x["t"]), "\n")).drop("r")
 
 
+def ranked(df: DataFrame, order: str, group: str | None = None, name: str = "seq") -> DataFrame:
+    """``df`` with the place (0, 1, ...) of each row by ``order``, of all rows or of its group.
+
+    Over all rows no task sees more than its range: ranges are sorted by themselves, and the counts of the
+    ranges before are added.
+    """
+    if group:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).cast("long"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", 33)
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = placed.groupBy(part.alias("__p")).agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
+    out = placed.withColumn("__p", part).join(F.broadcast(starts), "__p")
+    return out.withColumn(name, F.col("__s") + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__p", "__m", "__s")
+
+
 def chat_threads(messages: DataFrame, thread: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(thread, turns, transcript): the messages of each thread in order, as 'role: text' lines."""
     line = F.concat(F.col(role), F.lit(": "), F.coalesce(F.col(text), F.lit("")))
     grouped = messages.groupBy(thread).agg(F.count("*").alias("turns"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("t")))).alias("m"))  # of one thread
     return grouped.select(thread, "turns", F.array_join(F.transform("m", lambda x: x["t"]), "\n").alias("transcript"))
+
+
+def reply_threads(messages: DataFrame, name: str, order: str, thread: str, reply_to: str, author: str, text: str, at: str, turns: int = 8, conversation: str | None = None) -> DataFrame:
+    """(conversation, thread, turns, narrative): a message is in its thread, else in that of what it replies to, else in a window of ``turns`` such messages.
+
+    Messages of a thread keep their order; the k-th message on its own is in window k // turns.
+    """
+    keys = [conversation] if conversation else []
+    own = F.coalesce(F.nullif(F.col(thread), F.lit("")), F.nullif(F.col(reply_to), F.lit("")))
+    alone = messages.filter(own.isNull())
+    alone = ranked(alone, order, conversation, "__k").withColumn("__t", F.concat(F.lit("thread_"), F.floor((F.col("__k") + 1) / max(1, turns)).cast("string"))).drop("__k")
+    rows = messages.filter(own.isNotNull()).withColumn("__t", own).unionByName(alone)
+    stamp = F.when(F.coalesce(F.col(at), F.lit("")) != "", F.concat(F.lit(" ("), F.col(at), F.lit(")"))).otherwise("")
+    line = F.concat(F.coalesce(F.nullif(F.col(author), F.lit("")), F.lit("Unknown")), stamp, F.lit(": "), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\s+|\s+$", ""))
+    grouped = rows.groupBy(*keys, F.col("__t").alias("thread")).agg(F.count("*").alias("turns"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("t")))).alias("m"))  # of one thread
+    head = F.concat(F.lit(f"[Chat: {name} | Thread: "), F.col("thread"), F.lit(" | Turns: "), F.col("turns").cast("string"), F.lit("]\n"))
+    return grouped.select(*keys, "thread", "turns", F.concat(head, F.array_join(F.transform("m", lambda x: x["t"]), "\n")).alias("narrative"))
+
+
+def flattened(document: object, prefix: str = "") -> dict[str, object]:
+    """The fields of a nested document by dotted path: ten sub-documents of a list and how many more there are, other lists as JSON."""
+    out: dict[str, object] = {}
+    for k, v in document.items() if isinstance(document, dict) else ():
+        path = f"{prefix}.{k}" if prefix else k
+        if isinstance(v, dict) and v:
+            out |= flattened(v, path)
+        elif isinstance(v, list) and v and all(isinstance(x, dict) for x in v):
+            for i, x in enumerate(v[:10]):
+                out |= flattened(x, f"{path}[{i}]")
+            if len(v) > 10:
+                out[f"{path}._truncated"] = f"{len(v) - 10} more items"
+        else:
+            out[path] = json.dumps(v) if isinstance(v, list) else v
+    return out
+
+
+def _plain_bson(v: object) -> object:
+    """Extended JSON as plain values: {"$oid": x} and the like are x."""
+    if isinstance(v, dict):
+        if len(v) == 1 and (k := next(iter(v))).startswith("$"):
+            return _plain_bson(v[k])
+        return {k: _plain_bson(x) for k, x in v.items()}
+    return [_plain_bson(x) for x in v] if isinstance(v, list) else v
+
+
+def document_narrative(text: str | None, collection: str, flat: bool = True) -> str | None:
+    """'[Collection: c | ID: x] path: value | ...' of a JSON document; null for a text that is none."""
+    try:
+        doc = _plain_bson(json.loads(text or ""))
+    except ValueError:
+        return None
+    if not isinstance(doc, dict):
+        return None
+    head = f"[Collection: {collection} | ID: {doc.get('_id', doc.get('id', 'unknown_id'))}] "
+    if not flat:
+        return head + json.dumps(doc, default=str)
+    shown = lambda v: "NULL" if v is None else re.sub(r"\r?\n", " ", str(v)).strip()
+    return head + " | ".join(f"{k}: {shown(v)}" for k, v in flattened(doc).items() if k != "_id")
+
+
+def chunk_collection(documents: DataFrame, collection: str, text_col: str = "document", flat: bool = True) -> DataFrame:
+    """``documents`` with chunk: one narrative a JSON document, made in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([document_narrative(t, collection, flat) for t in texts], dtype=object)
+
+    return documents.withColumn("chunk", run(F.col(text_col)))

@@ -30,14 +30,20 @@ def all_matches(text: Column, pattern: str) -> Column:
 def tags(text: Column, words: dict[str, list[str]] | None = None) -> Column:
     """Sorted names of the tags of which any word is part of the text, in any case."""
     words = DEFAULT_TAGS if words is None else words
-    low = F.lower(F.coalesce(text, F.lit("")))
-    marks = []
-    for tag in sorted(words):
-        hit = F.lit(False)
-        for w in words[tag]:
-            hit = hit | F.contains(low, F.lit(w.lower()))
-        marks.append(F.when(hit, F.lit(tag)))
-    return F.array_compact(F.array(*marks)) if marks else F.array().cast("array<string>")
+    if not words:
+        return F.array().cast("array<string>")
+
+    def found(low: Column) -> Column:
+        marks = []
+        for tag in sorted(words):
+            hit = F.lit(False)
+            for w in words[tag]:
+                hit = hit | F.contains(low, F.lit(w.lower()))
+            marks.append(F.when(hit, F.lit(tag)))
+        return F.array_compact(F.array(*marks))
+
+    # the lower-cased text is the variable of a lambda, so that it is made once
+    return F.get(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), found), F.lit(0))
 
 
 def classify(tag_list: Column) -> Column:

@@ -53,7 +53,9 @@ def hybrid_fusion_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = 10
     semantic = vectors.nearest_to(load(spark, sf_dir, "embeddings"), 7, k=3 * k).select(F.col("vec_id").alias("doc_id"), F.col("score").alias("semantic_score"))
     words = lexical.keyword_search(load(spark, sf_dir, "documents"), QUERY, k=3 * k).select("doc_id", F.col("score").alias("lexical_score"))
-    scores = graph.score(_edges(spark, sf_dir), ["src1", "fr"]).select(F.substring_index("src", ":", -1).cast("long").alias("doc_id"), "graph_score")
+    wanted = semantic.select("doc_id").union(words.select("doc_id")).distinct()  # 6 k rows at most
+    near = load(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(F.broadcast(wanted), "doc_id", "left_semi")
+    scores = graph.score(graph.edges(near, parent="source", tags=["lang"]), ["src1", "fr"]).select(F.substring_index("src", ":", -1).cast("long").alias("doc_id"), "graph_score")
     return ranking.fuse(semantic, words, scores, (0.5, 0.3, 0.2), k)
 
 

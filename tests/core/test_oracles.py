@@ -1,6 +1,7 @@
 """Every query with SQL gives what DuckDB gives on the same tables."""
 
 import datetime
+import decimal
 
 import duckdb
 import pytest
@@ -20,11 +21,11 @@ def duck():
 
 
 def plain(v):
-    if isinstance(v, float):
-        return round(v, 8) + 0.0
+    if isinstance(v, (float, decimal.Decimal)):
+        return round(float(v), 8) + 0.0
     if isinstance(v, (datetime.date, datetime.datetime)):
         return str(v)
-    return str(v) if v.__class__.__name__ == "Decimal" else v
+    return v
 
 
 def rows(columns, values):
