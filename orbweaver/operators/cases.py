@@ -227,3 +227,30 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str, facts: list[str])
     for f in facts:
         same = same & F.col(f).eqNullSafe(F.col(f"__{f}"))
     return j.select(key, *[F.when(F.col("__new"), F.col(f)).otherwise(F.col(f"__{f}")).alias(f) for f in facts], (F.coalesce("__new", F.lit(False)) & ~(F.coalesce("__old", F.lit(False)) & same)).alias("changed"))
+
+
+def approved(actions: DataFrame, outbox: DataFrame, subjects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(actions, new outbox rows) once the cases of ``subjects`` are approved.
+
+    Actions (subject, key, kind, needs_approval, sendable) of these cases no longer need approval and are
+    queued, each key once; a key that the outbox has is not queued again.
+    """
+    named = subjects.select("subject").distinct().withColumn("__ok", F.lit(True))
+    j = actions.join(named, "subject", "left").withColumn("released", F.coalesce(F.col("__ok"), F.lit(False)) & F.col("needs_approval") & F.col("sendable")).drop("__ok")
+    out = j.withColumn("needs_approval", F.col("needs_approval") & ~F.col("released"))
+    queued = new_actions(j.filter("released"), outbox).select("subject", "key", "kind", F.lit("pending").alias("status"))
+    return out, queued
+
+
+def work_items(actions: DataFrame, outputs: Column) -> DataFrame:
+    """(key, asset, title, description, priority) of actions (subject, action, key) from a map of their decision's outputs."""
+    said = lambda *names: F.coalesce(*[F.nullif(F.try_element_at(outputs, F.lit(n)), F.lit("")) for n in names])
+    title = F.coalesce(said("title"), F.concat_ws(": ", "action", "subject"))
+    return actions.select("key", F.col("subject").alias("asset"), title.alias("title"), F.coalesce(said("description", "reason"), F.col("action")).alias("description"), F.coalesce(said("work_priority").try_cast("int"), F.lit(3)).alias("priority"))
+
+
+def submitted(items: DataFrame, known: DataFrame) -> DataFrame:
+    """A dry run of a ticket system: (key, ref, created): an item whose key is known gets that ticket, others a new one."""
+    j = items.dropDuplicates(["key"]).join(known.select("key", F.col("ref").alias("__ref")), "key", "left")
+    ref = F.concat(F.lit("DRY-"), F.upper(F.left(F.sha2(F.col("key").cast("binary"), 256), F.lit(10))))
+    return j.select("key", F.coalesce("__ref", ref).alias("ref"), F.col("__ref").isNull().alias("created"))

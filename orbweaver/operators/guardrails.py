@@ -160,3 +160,25 @@ def evaluate(queries: DataFrame, contexts: DataFrame, blocked: list[str], leakag
     screened = F.size(inspect_prompt(F.col("answer"), blocked, [])) > 0
     decision = F.when(F.col("stop"), "block").when(F.col("ungrounded") | screened, "block").when(F.size("pii") > 0, "warn").otherwise("allow")
     return j.select(id_col, "masked", "pii", "findings", decision.alias("decision"), F.when(decision != "block", F.col("answer")).alias("answer"), "confidence")
+
+
+_US_PHONE = r"\b(?:\+?1" + _GAP + r")?\(?\d{3}\)?" + _GAP + r"\d{3}" + _GAP + r"\d{4}\b"
+
+
+def raw_pii(text: Column) -> Column:
+    """Whether a text shows an e-mail address, a social security or telephone number, or a card that passes its check."""
+    t = F.coalesce(text, F.lit(""))
+    cards = F.regexp_extract_all(t, F.lit(PATTERNS["credit_card"]), F.lit(0))
+    return t.rlike(PATTERNS["email"]) | t.rlike(PATTERNS["ssn"]) | t.rlike(_US_PHONE) | F.exists(cards, lambda c: luhn(c))
+
+
+def output_findings(answer: Column, n_citations: Column, masked: Column, policies: list[dict]) -> Column:
+    """(policy, needs, severity) of the output policies that an answer breaks: citations, or masking where raw data shows."""
+    rows = []
+    for p in policies:
+        one = lambda needs, p=p: F.struct(F.lit(p["name"]).alias("policy"), F.lit(needs).alias("needs"), F.lit(p.get("action", "block")).alias("severity"))
+        if p.get("require_citations"):
+            rows.append(F.when(F.coalesce(n_citations, F.lit(0)) == 0, one("citations")))
+        if p.get("require_masking"):
+            rows.append(F.when(~F.coalesce(masked, F.lit(False)) & raw_pii(answer), one("masking")))
+    return F.array_compact(F.array(*rows)) if rows else F.array().cast("array<struct<policy:string,needs:string,severity:string>>")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from functools import reduce
 
@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbweaver.session import cut as cut_rows
+
 SIGNALS = ("stop_contact", "callback_request")
 COMPATIBLE = ({"mandate_issue", "promise_to_pay"},)
 #: A small default lexicon: intent to (pattern, weight); jobs give their own.
@@ -168,3 +170,72 @@ def fold(text: Column, k: int = 5) -> Column:
     digest = F.sha2(text.cast("binary"), 256)
     bytes_ = F.transform(F.sequence(F.lit(1), F.lit(63), F.lit(2)), lambda i: F.conv(F.substring(digest, i, F.lit(2)), 16, 10).cast("int"))
     return F.aggregate(bytes_, F.lit(0), lambda s, b: (s * 256 + b) % k)
+
+
+#: What is masked before a text leaves the process, in this order: later patterns are looser.
+REDACTIONS = (
+    (r"[\w+.-]+@[\w-]+\.[\w.-]+", "[email]"),
+    (r"(?i)\b[A-Z]{5}[0-9]{4}[A-Z]\b", "[pan]"),
+    (r"\b[0-9]{4}\s?[0-9]{4}\s?[0-9]{4}\b", "[id-number]"),
+    (r"(?:\+?[0-9]{1,3}[\s-]?)?\b[6-9][0-9]{9}\b", "[phone]"),
+    (r"\+?[0-9][0-9\s().-]{8,}[0-9]", "[number]"),
+    (r"(?i)\b[A-Z0-9]*[0-9][A-Z0-9]{7,}\b", "[reference]"),
+)
+
+
+def redact(text: Column) -> Column:
+    for pattern, mask in REDACTIONS:
+        text = F.regexp_replace(text, pattern, mask)
+    return text
+
+
+def evaluate_folds(examples: DataFrame, k: int = 5, text: str = "text", label: str = "label") -> DataFrame:
+    """(label, predicted, n): the confusion of ``k`` models, each tested on the fold it was not fitted on.
+
+    Folds follow from the texts alone; what a model can't predict is ``other``. Fewer than 10 examples give no rows.
+    """
+    rows = cut_rows(examples.filter(F.col(label).isNotNull() & (F.trim(F.col(text)) != "")).select(F.col(text).alias("text"), F.col(label).alias("label"), fold(F.col(text), k).alias("fold")).withColumn("row", F.monotonically_increasing_id()))
+    parts = []
+    for i in range(k):
+        test = rows.filter(F.col("fold") == i)
+        guess = nb_predict(rows.filter(F.col("fold") != i), test, "row").select("row", F.col("label").alias("predicted"))
+        parts.append(test.join(guess, "row", "left").select("label", F.coalesce("predicted", F.lit("other")).alias("predicted")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    enough = rows.agg((F.count("*") >= 10).alias("enough"))
+    return every.groupBy("label", "predicted").agg(F.count("*").alias("n")).crossJoin(F.broadcast(enough)).filter("enough").drop("enough")
+
+
+def accuracy(confusion: DataFrame) -> DataFrame:
+    """One row: examples and the share of them that is right."""
+    right = F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0))
+    return confusion.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("examples"), F.round(right / F.sum("n"), 4).alias("accuracy"))
+
+
+#: The most that a language model's answer is trusted.
+MODEL_CONFIDENCE = 0.85
+
+
+def model_answers(replies: DataFrame, ask: Callable[[str], dict | None], intents: list[str], review_below: float = 0.6, text: str = "text") -> DataFrame:
+    """``replies`` (text, intent, confidence, needs_review) with a model's answer where they need review.
+
+    The model sees redacted text only. An answer of no known intent, or none, leaves the reply as it was.
+    """
+
+    @F.pandas_udf("intent string, confidence double")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            try:
+                a = ask(t) if t is not None else None
+                c = min(MODEL_CONFIDENCE, max(0.0, float(a.get("confidence", 0)))) if isinstance(a, dict) and a.get("intent") in intents else None
+            except Exception:  # an answer that can't be had must not stop the replies
+                c = None
+            out.append((a["intent"], round(c, 4)) if c is not None else (None, None))
+        return pd.DataFrame(out, columns=["intent", "confidence"])
+
+    a = replies.withColumn("__a", run(F.when(F.col("needs_review"), redact(F.col(text)))))
+    got = F.col("__a.intent").isNotNull()
+    a = a.withColumn("method", F.when(got, "model").otherwise("rules")).withColumn("intent", F.coalesce("__a.intent", "intent")).withColumn("confidence", F.coalesce("__a.confidence", "confidence"))
+    return a.withColumn("needs_review", F.when(F.col("method") == "model", F.col("confidence") < review_below).otherwise(F.col("needs_review"))).drop("__a")

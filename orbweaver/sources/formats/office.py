@@ -122,6 +122,78 @@ def document(path: str, data: bytes, size: int = 1200) -> list[tuple[int, str]]:
     return list(enumerate(chunks))
 
 
+def grouped_sections(items: list[tuple[str, str, str]], name: str, size: int = 1200) -> list[tuple[str, str]]:
+    """(section, narrative) of items (section, kind, text): a section's paragraphs and list items are packed, its heading on top.
+
+    Tables and other items stand alone, and so does a heading without a body.
+    """
+    out: list[tuple[str, str]] = []
+    heading: tuple[str, str] | None = None
+    body: list[str] = []
+    section = ""
+
+    def flush() -> None:
+        nonlocal heading
+        if body:
+            top = [heading[1]] if heading and heading[0] == section else []
+            if not top and heading:
+                out.append(heading)
+            out.append((section, f"[Document: {name} | Section: {section}]\n" + "\n".join(top + body)))
+            body.clear()
+        elif heading:
+            out.append(heading)
+        heading = None
+
+    for where, kind, text in items:
+        if kind == "heading":
+            flush()
+            heading = (where, text)
+        elif kind in ("paragraph", "list_item"):
+            if body and (where != section or sum(len(t) + 1 for t in body) + len(text) > size):
+                flush()
+            section = where
+            body.append(text)
+        else:
+            flush()
+            out.append((where, text))
+    flush()
+    return out
+
+
+#: Names of streams in an old workbook, which are no text of it.
+_STREAMS = {"Root Entry", "Workbook", "Book", "CompObj"}
+
+
+def legacy_workbook(path: str, data: bytes) -> list[tuple[int, str]]:
+    """An old binary workbook without a reader for it: its readable runs, five a row."""
+    name = path.rsplit("/", 1)[-1]
+    single = [m.decode("latin-1") for m in re.findall(rb"[ -~]{3,}", data)]
+    double = [m.decode("utf-16-le") for m in re.findall(rb"(?:[ -~]\0){2,}", data)]
+    found: list[str] = []
+    for i, text in enumerate(single + double):
+        text = text.strip()
+        if len(text) > 1 and text[0] != "_" and text not in _STREAMS and not (i >= len(single) and text in found):
+            found.append(text)
+    rows = [found[i : i + 5] for i in range(0, len(found), 5)]
+    return [(n, f"[Workbook: {name} | Sheet: Sheet1 | Row {n}] " + " | ".join(f"Col_{k}: {v}" for k, v in enumerate(r, 1))) for n, r in enumerate(rows, 1)]
+
+
+def embedded_images(data: bytes) -> list[tuple[str, bytes]]:
+    """(name, bytes) of the pictures inside an open XML file, by name."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = sorted(i.filename for i in z.infolist() if re.search(r"/media/[^/]+\.(?:png|jpe?g|bmp|gif|webp)$", i.filename, re.I) and i.file_size <= MAX_PART)
+        return [(n, z.read(n)) for n in names]
+
+
+def image_texts(data: bytes, read=None) -> list[str]:
+    """A line an embedded picture: what ``read`` makes of its bytes, else its name and size."""
+    out = []
+    for name, image in embedded_images(data):
+        text = (read(image) if read else None) or f"{len(image)} bytes"
+        out.append(f"[Image: {name.rsplit('/', 1)[-1]}] {text.strip()}")
+    return out
+
+
 class _Plain(HTMLParser):
     HIDDEN, BREAKS = {"script", "style", "head"}, {"p", "br", "div", "li", "tr", *(f"h{n}" for n in range(1, 7))}
 

@@ -89,3 +89,16 @@ def pages(path: str, data: bytes) -> list[tuple[int, str]]:
         text = content_text(b"\n".join(decoded(objects[r]) for r in refs if r in objects))
         out.append((len(out) + 1, f"[Page {len(out) + 1}]\n{text}"))
     return out
+
+
+def images(data: bytes) -> list[tuple[int, str, bytes]]:
+    """(object, kind, bytes) of a PDF's pictures: jpeg and jp2 as they are, others unpacked as raw samples."""
+    out = []
+    for m in _OBJECT.finditer(data):
+        body = m[3]
+        if not re.search(rb"/Subtype\s*/Image\b", body):
+            continue
+        raw = _STREAM.search(body)
+        kind = "jpeg" if b"/DCTDecode" in body else "jp2" if b"/JPXDecode" in body else "raw"
+        out.append((int(m[1]), kind, (raw[1] if raw else b"") if kind != "raw" else decoded(body)))
+    return out
