@@ -18,7 +18,7 @@ from orbweaver.session import cut, drop_path, scratch_path
 #: Anything that is no ASCII letter or digit and no other character from U+0080 on parts words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Terms of test windows (short strings) that may be broadcast; beyond, postings and terms meet in a shuffle.
+#: Terms of test windows (short strings) or numbers of documents that may be broadcast; beyond, they meet postings and words in a shuffle.
 BROADCAST_WINDOWS = 160_000
 
 
@@ -37,7 +37,7 @@ def _windows(items: DataFrame, size: int, id_col: str, text_col: str) -> tuple[D
 
 
 def _checked(rows: DataFrame) -> DataFrame:
-    """``rows`` (one a test term), to be broadcast if they are few enough."""
+    """``rows`` (one a test term or a document found), to be broadcast if they are few enough."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_WINDOWS else rows
 
 
@@ -85,7 +85,8 @@ class _Index:
         The places of a document are looked at beside its words, in one row.
         """
         per = found.join(distinct, "wid").groupBy("doc").agg(F.collect_set(F.struct("wid", "at", "w")).alias("xs"))  # of one document
-        rows = self.words.join(per, "doc").select("key", F.filter("xs", lambda x: fits(F.col("ws"), x["at"], x["w"])).alias("xs"))
+        near = self.words.join(_checked(cut(found.select("doc").distinct())), "doc", "left_semi")  # most documents have no such place
+        rows = near.join(per, "doc").select("key", F.filter("xs", lambda x: fits(F.col("ws"), x["at"], x["w"])).alias("xs"))
         return rows.select("key", F.explode("xs").alias("x")).select("key", "x.wid", "x.at", F.size("x.w").alias("n"))
 
     def phrases(self, distinct: DataFrame) -> DataFrame:
