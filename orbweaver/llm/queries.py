@@ -56,8 +56,13 @@ def op6_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_dedup(spark, sf_dir, 1)
 
 
-def _line_dedup(spark: SparkSession, sf_dir: str, min_words: int) -> DataFrame:
-    found = units.dedup_units(load(spark, sf_dir, "documents"), by="line", min_words=min_words)
+def op6_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without sentences (16 words or more) that occur earlier; their places are kept."""
+    return _line_dedup(spark, sf_dir, 16, "sentence")
+
+
+def _line_dedup(spark: SparkSession, sf_dir: str, min_words: int, by: str = "line") -> DataFrame:
+    found = units.dedup_units(load(spark, sf_dir, "documents"), by=by, min_words=min_words)
     places = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["size"])), ",")
     return found.select("doc_id", "n_units", "n_removed", places.alias("removed"), "kept_text")
 
@@ -92,6 +97,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
     "op6_line_dedup_all": op6_line_dedup_all,
+    "op6_sentence_dedup": op6_sentence_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_topk": op8_exact_topk,
     "op9_html_extraction": op9_html_extraction,
@@ -109,6 +115,16 @@ r AS (SELECT *, CASE WHEN counts THEN row_number() OVER (PARTITION BY norm, coun
 g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(coalesce(before, 0)::BIGINT || ':' || size, ',' ORDER BY i) FILTER (gone) AS removed, list(i ORDER BY i) FILTER (NOT gone) AS kept FROM r GROUP BY 1)
 SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed,
   coalesce(array_to_string(list_transform(kept, lambda i: ls[i]), chr(10)), '') AS kept_text FROM d LEFT JOIN g USING (doc_id)""",
+    "op6_sentence_dedup": r"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[^.!?\n]+[.!?]*|[.!?\n]') AS ls FROM documents),
+u AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d),
+n AS (SELECT doc_id, i, len(ls[i]) AS size, list_sum(list_transform(ls[1:i - 1], lambda x: len(x))) AS before,
+  trim(regexp_replace(lower(ls[i]), '[\x09-\x0D\x20\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]+', ' ', 'g')) AS norm FROM u),
+k AS (SELECT *, len(string_split(norm, ' ')) >= 16 AS counts FROM n),
+r AS (SELECT *, CASE WHEN counts THEN row_number() OVER (PARTITION BY norm, counts ORDER BY doc_id, i) > 1 ELSE false END AS gone FROM k),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(coalesce(before, 0)::BIGINT || ':' || size, ',' ORDER BY i) FILTER (gone) AS removed, list(i ORDER BY i) FILTER (NOT gone) AS kept FROM r GROUP BY 1)
+SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed,
+  coalesce(array_to_string(list_transform(kept, lambda i: ls[i]), ''), '') AS kept_text FROM d LEFT JOIN g USING (doc_id)""",
     "op8_exact_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from orbweaver.session import cut
 
 GAPS = {"line": "\n", "paragraph": "\n\n"}
+#: The pieces of a text where units are sentences: a run up to its end marks, or a line break or mark on its own.
+SENTENCE = re.compile(r"[^.!?\n]+[.!?]*|[.!?\n]")
 SPACE = re.compile("[\x09-\x0d\x20\x85\xa0  -     　]+")
 
 
@@ -23,10 +25,13 @@ def normalise(unit: str) -> str:
     return SPACE.sub(" ", unit.lower()).strip(" ")
 
 
-def split_units(text: str | None, gap: str) -> list[tuple[int, str]]:
+def split_units(text: str | None, by: str) -> list[tuple[int, str]]:
     """(start, unit) of every unit of a text; starts count characters. Null has none."""
     if text is None:
         return []
+    if by == "sentence":
+        return [(m.start(), m[0]) for m in SENTENCE.finditer(text)]
+    gap = GAPS[by]
     out, at = [], 0
     for unit in text.split(gap):
         out.append((at, unit))
@@ -42,7 +47,7 @@ def units(docs: DataFrame, id_col: str, text_col: str, by: str, min_words: int)
 
     th is a hash of the whole text, which tells apart texts that share an id.
     """
-    gap, kind = GAPS[by], docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,7 +55,7 @@ def units(docs: DataFrame, id_col: str, text_col: str, by: str, min_words: int)
                 part = batch.slice(at, 512)
                 rows, out = [], []
                 for i, text in enumerate(part.column(2)):
-                    for pos, (start, unit) in enumerate(split_units(text.as_py(), gap)):
+                    for pos, (start, unit) in enumerate(split_units(text.as_py(), by)):
                         norm = normalise(unit)
                         if norm and norm.count(" ") + 1 >= min_words:
                             rows.append(i)
@@ -78,7 +83,7 @@ def duplicate_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _keep(by: str):
-    gap = GAPS[by]
+    gap = GAPS.get(by, "")
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, gone: pd.Series) -> pd.Series:
@@ -88,7 +93,7 @@ def _keep(by: str):
                 out.append(text or "")
                 continue
             drop = set(places)
-            out.append(gap.join(u for i, u in enumerate(text.split(gap)) if i not in drop))
+            out.append(gap.join(u for i, (_, u) in enumerate(split_units(text, by)) if i not in drop))
         return pd.Series(out, dtype=object)
 
     return kept
@@ -97,12 +102,15 @@ def _keep(by: str):
 def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: str = "line", min_words: int = 1) -> DataFrame:
     """One row a document: id, n_units, n_removed, removed (array of start, size), kept_text.
 
-    Units are lines or paragraphs; those whose normalised form occurs earlier (a smaller id, or before
-    in the same text) go, and what stays is joined by the separator again. Offsets count characters of
+    Units are lines, paragraphs or sentences; those whose normalised form occurs earlier (a smaller id, or
+    before in the same text) go, and what stays is joined by the separator again (sentences by nothing, as
+    their pieces are the whole text). Offsets count characters of
     the original text. Units without words, or of fewer than ``min_words``, always stay. A null text
     has an empty kept_text and no units. Rows that repeat both id and text are one document, and each
-    gets its result; rows without an id come after all others. Other columns do no harm.
+    gets its result; rows without an id come after all others. Texts of any length are read whole; an
+    empty table gives no rows. Other columns do no harm.
     """
+    n_units = F.size(F.split("__text", GAPS[by])) if by in GAPS else F.size(F.regexp_extract_all("__text", F.lit(SENTENCE.pattern), F.lit(0)))
     gone = duplicate_units(docs, id_col, text_col, by, min_words)
     gone = gone.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("pos", "start", "size"))).alias("gone"))  # units of one text
     own = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__th"), F.col(text_col).alias("__text"))
@@ -110,7 +118,7 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places: Column = F.transform("gone", lambda g: g["pos"])
     return joined.select(
         F.col("__id").alias(id_col),
-        F.when(F.col("__text").isNull(), 0).otherwise(F.size(F.split("__text", GAPS[by]))).cast("long").alias("n_units"),
+        F.when(F.col("__text").isNull(), 0).otherwise(n_units).cast("long").alias("n_units"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.transform("gone", lambda g: F.struct(g["start"].alias("start"), g["size"].alias("size"))), F.array().cast("array<struct<start:int,size:int>>")).alias("removed"),
         _keep(by)(F.col("__text"), places).alias("kept_text"),
