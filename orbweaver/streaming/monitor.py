@@ -93,22 +93,29 @@ def monitor(readings: DataFrame, signals: dict[str, Signal], asset: str = "asset
 
 
 def dispatch(actions: DataFrame, send: Callable[[dict], str], outbox: str, checkpoint: str) -> StreamingQuery:
-    """Send each new action once: results land in ``outbox`` by batch; a retryable failure stays pending.
+    """Send actions with their batch: results land in ``outbox`` by batch; a retryable failure is tried again with the next.
 
     ``send`` runs on executors for one row and returns sent, failed or retry; use a dry run where nothing may leave.
+    A key that was sent or has failed is not sent again. A task or batch that runs again may send again, so
+    receivers have to know a key that they have seen.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        @F.udf("string")
-        def deliver(row: str) -> str:
-            return send(json.loads(row))
-
-        todo = batch.dropDuplicates(["key"])
+        names, fields = batch.columns, batch.schema.fields
+        todo = batch
         if number:
-            done = batch.sparkSession.read.option("recursiveFileLookup", "true").parquet(outbox).filter("status = 'sent'").select("key")
-            todo = todo.join(done, "key", "left_anti")
-        result = todo.withColumn("result", deliver(F.to_json(F.struct(*todo.columns))))
-        result.withColumn("status", F.when(F.col("result") == "retry", "pending").otherwise(F.col("result"))).write.mode("overwrite").parquet(f"{outbox}/batch={number}")
+            past = batch.sparkSession.read.schema(T.StructType([*fields, T.StructField("result", T.StringType()), T.StructField("status", T.StringType()), T.StructField("batch", T.LongType())])).parquet(outbox).filter(F.col("batch") < number)
+            last = past.groupBy("key").agg(F.max_by(F.struct(*names, "status"), "batch").alias("r"))
+            waiting = last.filter("r.status = 'pending'").select("r.*").select(*names)
+            todo = batch.unionByName(waiting).join(last.filter("r.status <> 'pending'").select("key"), "key", "left_anti").select(*names)
+        todo = todo.dropDuplicates(["key"])
+
+        def deliver(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                yield pdf.drop(columns="__row").assign(result=[send(json.loads(r)) for r in pdf["__row"]])
+
+        sent = todo.withColumn("__row", F.to_json(F.struct(*names))).mapInPandas(deliver, T.StructType([*fields, T.StructField("result", T.StringType())]))
+        sent.withColumn("status", F.when(F.col("result") == "retry", "pending").otherwise(F.col("result"))).write.mode("overwrite").parquet(f"{outbox}/batch={number}")
 
     return actions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
