@@ -129,7 +129,9 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1 << 16, overlap: int = 1 << 10) -> DataFrame:
     """Encode and decode every text in one pass: (id_col, n_tokens, ids_sha256, decoded_sha256).
 
-    ids_sha256 is over the decimal ids joined by one space, decoded_sha256 over the decoded bytes.
+    ids_sha256 is over the decimal ids joined by one space, decoded_sha256 over the decoded bytes. Null and
+    empty texts have no ids and the digests of nothing; texts beyond a chunk are read chunk by chunk;
+    repeated rows and null ids stay; an empty table has no rows; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
