@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from orbweaver.plans import details, feeds, rules, search, series, text
+from orbweaver.plans import contents, details, feeds, rules, search, series, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (search, text, rules, series, details, feeds):
+for _module in (search, text, rules, series, details, feeds, contents):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -101,6 +101,16 @@ def promise_date(text: str | None, today: date) -> date | None:
     return None
 
 
+def promised(text: Column, today: Column) -> Column:
+    """promise_date of a column, in Arrow batches."""
+
+    @F.pandas_udf("date")
+    def run(texts: pd.Series, days: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None or pd.isna(d) else promise_date(t, d) for t, d in zip(texts, days, strict=True)], dtype=object)
+
+    return run(text, today.cast("date"))
+
+
 _WORD = re.compile(r"[^\W_]+")
 
 

@@ -7,6 +7,8 @@ import re
 import struct
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 CENTRES = (60, 120, 200, 300, 450, 700, 1000, 1500, 2200, 3200, 4500, 6000, 8000, 11000)
 
@@ -115,9 +117,16 @@ def describe(path: str, data: bytes) -> list[tuple[int, str]]:
     return [(i, f"[Audio {label(w['start'])}-{label(w['end'])}] {w['activity']}, rms {w['rms']:.3f}, zero crossings {w['zcr']:.3f}") for i, w in enumerate(windows(rate, x))]
 
 
+_VOICE_SQL = r"(?i)(PTT|AUD|voice|call)[-_](\d{8})[-_](?:WA)?(\d+)"
 VOICE = re.compile(r"(?P<kind>PTT|AUD|voice|call)[-_](?P<date>\d{8})[-_](?:WA)?(?P<number>\d+)", re.I)
 
 
+def voice_fields(name: Column) -> Column:
+    """The same of a column, without Python: null where a name is no voice message's."""
+    part = lambda i: F.regexp_extract(name, _VOICE_SQL, i)
+    return F.when(name.rlike(_VOICE_SQL), F.struct(part(1).alias("kind"), part(2).alias("date"), part(3).alias("number")))
+
+
 def voice_name(name: str) -> dict[str, str] | None:
     """kind, date and number of a voice message's file name."""
     m = VOICE.search(name)
