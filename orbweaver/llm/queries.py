@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweaver.llm import bpe, decontaminate, html, langid, quality, records, repeats, simhash, topk, units
-from orbweaver.session import load, scratch_path
+from orbweaver.session import cut, drop_path, load, scratch_path
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,9 @@ def op4_token_records(spark: SparkSession, sf_dir: str, path: str | None = None)
     """Ids of every document, written to record files in ascending doc_id order and read back from them."""
     place = scratch_path(spark, "records")
     manifest = records.write_records(load(spark, sf_dir, "documents"), place, path or tokenizer_file("byte_bpe_50k.json"), end_id=2, special_as_text=False)
-    return records.read_records(spark, place, manifest)
+    found = cut(records.read_records(spark, place, manifest))
+    drop_path(spark, place)
+    return found
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
