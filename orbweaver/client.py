@@ -53,8 +53,8 @@ class Client:
         return c.withColumn("chunk_id", F.concat_ws(":", "doc_id", "chunk_index")).withColumn("metadata", enrich.metadata(F.col("text")))
 
     def index(self, chunks: DataFrame, path: str | None = None) -> DataFrame:
-        """Chunks with their vectors; written to ``path`` if given. Chunks of a known id replace the old ones."""
-        new = chunks.withColumn("embedding", self.embed(F.col("text")))
+        """Chunks with their vectors, scaled to length one; written to ``path`` if given. Chunks of a known id replace the old ones."""
+        new = chunks.withColumn("embedding", self.embed(F.col("text"))).withColumn("embedding", vectors.l2_normalise(F.col("embedding")))
         if self.chunks is not None:
             old = self.chunks.join(new.select("doc_id").distinct(), "doc_id", "left_anti")
             new = old.unionByName(new)
@@ -64,6 +64,32 @@ class Client:
         self.chunks = new
         return new
 
+    def save(self, path: str) -> None:
+        """The index as Parquet tables under ``path``: chunks, postings, frequencies, nodes and edges."""
+        if self.chunks is None:
+            raise ValueError("nothing is indexed")
+        self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+        chunks = self.spark.read.parquet(f"{path}/chunks")
+        postings = lexical.postings(chunks, "chunk_id")
+        postings.write.mode("overwrite").parquet(f"{path}/postings")
+        stored = self.spark.read.parquet(f"{path}/postings")
+        stored.groupBy("token").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/frequencies")
+        edges = self._edges(chunks)
+        edges.write.mode("overwrite").parquet(f"{path}/edges")
+        graph.nodes(self.spark.read.parquet(f"{path}/edges")).write.mode("overwrite").parquet(f"{path}/nodes")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, **settings: object) -> Client:
+        """A client over a saved index; searches read its tables."""
+        client = cls(spark, **settings)
+        client.chunks = spark.read.parquet(f"{path}/chunks")
+        return client
+
+    @staticmethod
+    def _edges(chunks: DataFrame) -> DataFrame:
+        flat = chunks.select("chunk_id", F.col("doc_id").cast("string").alias("doc_id"), F.col("metadata.entities").alias("entities"), F.col("metadata.tags").alias("tags"))
+        return graph.edges(flat, "chunk_id", "doc_id", ["entities"], ["tags"])
+
     def search(self, query: str, k: int = 5) -> DataFrame:
         """The k best chunks by fused vector, keyword and graph scores, from three times as many candidates each."""
         if self.chunks is None:
@@ -72,17 +98,24 @@ class Client:
         q = self.spark.range(1).select(self.embed(F.lit(query)).alias("v")).first()["v"]
         semantic = vectors.nearest(c, q, 3 * k, "chunk_id").withColumnRenamed("score", "semantic_score")
         words = lexical.keyword_search(c, query, 3 * k, "chunk_id").select("chunk_id", F.col("score").alias("lexical_score"))
-        flat = c.select("chunk_id", F.col("doc_id").cast("string").alias("doc_id"), F.col("metadata.entities").alias("entities"), F.col("metadata.tags").alias("tags"))
-        near = flat.join(semantic.select("chunk_id").union(words.select("chunk_id")).distinct(), "chunk_id", "left_semi")
-        edges = graph.edges(near, "chunk_id", "doc_id", ["entities"], ["tags"])
+        edges = self._edges(c.join(semantic.select("chunk_id").union(words.select("chunk_id")).distinct(), "chunk_id", "left_semi"))
         scores = graph.score(edges, lexical.query_terms(query)).select(F.expr("substring(src, 10)").alias("chunk_id"), "graph_score")
         best = ranking.fuse(semantic, words, scores, self.weights, k, "chunk_id")
         return best.join(c.select("chunk_id", "doc_id", "text"), "chunk_id").orderBy(F.desc("score"), "chunk_id")
 
+    def contexts(self, question: str, k: int = 3, least_semantic: float = 0.0, least_score: float = 0.05, least_overlap: float = 0.05) -> DataFrame:
+        """The hits that are near enough; where there are none, the chunks whose words overlap the question's enough."""
+        hits = self.search(question, k).filter((F.col("score") >= least_score) & (F.col("semantic_score") >= least_semantic))
+        if not hits.isEmpty():
+            return hits.select("chunk_id", "doc_id", "text", "score")
+        asked = guardrails.token_set(F.lit(question))
+        found = self.chunks.select("chunk_id", "doc_id", "text", F.round(ranking.blended(asked, guardrails.token_set(F.col("text"))), 6).alias("score"))
+        return found.filter(F.col("score") >= least_overlap).orderBy(F.desc("score"), "chunk_id").limit(k)
+
     def ask(self, question: str, k: int = 3) -> dict:
         """decision, answer, confidence and citations of one question, under the guardrails."""
         q = self.spark.createDataFrame([(0, question)], "query_id int, text string")
-        hits = self.search(question, k)
+        hits = self.contexts(question, k)
         contexts = hits.groupBy().agg(F.collect_list("text").alias("contexts")).select(F.lit(0).alias("query_id"), "contexts")  # k rows
         r = guardrails.evaluate(q, contexts, self.blocked, self.leakage, [], []).first()
         cited = [] if r["answer"] is None else [h["chunk_id"] for h in hits.select("chunk_id").collect()]
