@@ -57,13 +57,13 @@ Z = {0.9: 1.6449, 0.95: 1.96, 0.99: 2.5758}
 
 def wilson(successes: Column, trials: Column, confidence: float = 0.95) -> dict[str, Column]:
     """rate, low and high of a proportion by Wilson's score interval; null without trials."""
-    z = Z.get(round(confidence, 2), Z[0.95])
+    # the bounds are the roots of (n + zz) x^2 - (2 s + zz) x + s^2 / n
+    zz = Z.get(round(confidence, 2), Z[0.95]) ** 2
     n = F.when(trials > 0, trials.cast("double"))
-    p = F.greatest(F.lit(0), F.least(successes, trials)) / n
-    spread = 1 + z * z / n
-    middle = (p + z * z / (2 * n)) / spread
-    half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / spread
-    return {"rate": F.round(p, 6), "low": F.round(F.greatest(F.lit(0.0), middle - half), 6), "high": F.round(F.least(F.lit(1.0), middle + half), 6)}
+    s = F.least(F.greatest(successes, F.lit(0)), trials)
+    root = F.sqrt(zz * (zz + 4 * s * (n - s) / n))
+    at = lambda sign: (2 * s + zz + sign * root) / (2 * (n + zz))
+    return {"rate": F.round(s / n, 6), "low": F.round(F.greatest(at(-1), F.lit(0.0)), 6), "high": F.round(F.least(at(1), F.lit(1.0)), 6)}
 
 
 def arm_rates(outcomes: DataFrame, arm: str = "arm", success: str = "success", confidence: float = 0.95) -> DataFrame:

@@ -110,25 +110,28 @@ class Series:
         """Take a reading. Null is skipped; NaN or an implausible value marks the metric until a good one comes."""
         if v is None:
             return
-        low, high = s.valid_min if s.valid_min is not None else -math.inf, s.valid_max if s.valid_max is not None else math.inf
-        if not math.isfinite(v) or not low <= v <= high:
-            self.invalid = True
+        bounds = (s.valid_min, -math.inf), (s.valid_max, math.inf)
+        low, high = (limit if given is None else given for given, limit in bounds)
+        self.invalid = not (math.isfinite(v) and low <= v <= high)
+        if self.invalid:
             return
-        self.invalid = False
         self.points = [*self.points, (t, v)][-RECENT:]
-        if not (old := self.history) or old[-1][0] <= t - STEP:
+        if not self.history or t - self.history[-1][0] >= STEP:
             self.history = [*self.history, (t, v)][-HISTORY:]
-        if self.last is None:
-            self.fast = self.slow = v
-        else:
-            dt = max(0.0, t - self.last)
-            a, b = 1 - math.exp(-dt / FAST), 1 - math.exp(-dt / SLOW)
-            self.fast += a * (v - self.fast)
-            d = v - self.slow
-            self.slow += b * d
-            self.var = (1 - b) * (self.var + b * d * d)
+        self._average(v, 0.0 if self.last is None else max(0.0, t - self.last))
         self.last = t
 
+    def _average(self, v: float, passed: float) -> None:
+        """Move both averages towards ``v`` by the time that passed; the first reading sets them."""
+        if self.slow is None or self.fast is None:
+            self.slow = self.fast = v
+            return
+        keep = math.exp(-passed / SLOW)
+        gap = v - self.slow
+        self.var = keep * (self.var + (1 - keep) * gap * gap)
+        self.slow += (1 - keep) * gap
+        self.fast = v + math.exp(-passed / FAST) * (self.fast - v)
+
     def dump(self) -> dict[str, Any]:
         r = lambda ps: [[float(int(t)), round(v, 4)] for t, v in ps]
         return {"points": r(self.points), "history": r(self.history), "var": self.var, "slow": self.slow, "fast": self.fast, "last": self.last, "invalid": self.invalid}

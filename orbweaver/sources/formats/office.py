@@ -71,7 +71,7 @@ def workbook(path: str, data: bytes) -> list[tuple[int, str]]:
 
 
 def slides(path: str, data: bytes) -> list[tuple[int, str]]:
-    """'[Slide n] title', body lines and notes of each slide."""
+    """'[Slide n] title', body lines, tables, diagrams' texts and notes of each slide."""
     out = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for n, part in enumerate(_numbered(z.namelist(), r"ppt/slides/slide(\d+)\.xml"), 1):
@@ -84,6 +84,9 @@ def slides(path: str, data: bytes) -> list[tuple[int, str]]:
                     lines += paragraphs
             for row in _all(_part(z, part), "tr"):
                 lines.append(" | ".join(_text(c).strip() for c in _all(row, "tc")))
+            links = _all(_part(z, part.replace("slides/slide", "slides/_rels/slide") + ".rels"), "Relationship")
+            for target in sorted(t for x in links if re.search(r"diagrams/data\d*\.xml$", t := x.get("Target", ""))):
+                lines += [t for p in _all(_part(z, "ppt/" + target.removeprefix("../")), "p") if (t := _text(p).strip())]
             notes = [t for p in _all(_part(z, part.replace("slides/slide", "notesSlides/notesSlide")), "p") if (t := _text(p).strip()) and not t.isdigit()]
             text = "\n".join([f"[Slide {n}] {title}".strip(), *lines, *(["Notes: " + " ".join(notes)] if notes else [])])
             out.append((n, text))
