@@ -24,9 +24,14 @@ _FUNCTION_WORDS = {
 STOPWORDS = frozenset(w for ws in _FUNCTION_WORDS.values() for w in ws.split()) - {"us", "may", "against"}
 
 
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case, other letters as they are; texts of ASCII alone take the shorter way."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased retrieval tokens of a text, in order, repeats kept."""
-    return F.regexp_extract_all(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(ascii_lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def query_terms(query: str) -> list[str]:
