@@ -13,18 +13,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbweaver.operators.lexical import ascii_lower
 from orbweaver.session import cut, drop_path, scratch_path
 
 #: Anything that is no ASCII letter or digit and no other character from U+0080 on parts words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Terms of test windows (short strings) or numbers of documents that may be broadcast; beyond, they meet postings and words in a shuffle.
 BROADCAST_WINDOWS = 160_000
 
 
 def words(text: Column) -> Column:
     """Words of a text: A-Z lower-cased, cut at ASCII characters other than letters and digits; none for null."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
 def _windows(items: DataFrame, size: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
