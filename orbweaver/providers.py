@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 from urllib.request import Request, build_opener
@@ -13,14 +14,14 @@ from pyspark.sql import functions as F
 
 from orbweaver.sources.rest import _NoRedirect, check_url
 
-_LOADED: dict[str, Any] = {}
+_LOADED: dict[str, tuple[str, Any]] = {}
 
 
-def loaded(name: str, load: Callable[[], Any]) -> Any:
-    """A model by its name, loaded once in this worker process; the worker's end frees it."""
-    if name not in _LOADED:
-        _LOADED[name] = load()
-    return _LOADED[name]
+def loaded(name: str, load: Callable[[], Any], token: str = "") -> Any:
+    """A model by its name, loaded once in this worker process; another token of the name takes its place. The worker's end frees it."""
+    if name not in _LOADED or _LOADED[name][0] != token:
+        _LOADED[name] = (token, load())
+    return _LOADED[name][1]
 
 
 def release(name: str) -> bool:
@@ -30,10 +31,11 @@ def release(name: str) -> bool:
 
 def applied(name: str, load: Callable[[], Callable[[list], list]], value: Column, kind: str, batch: int = 64) -> Column:
     """A model's results for a column, ``batch`` values a call; nulls stay null and are not sent."""
+    token = uuid.uuid4().hex  # of this column's model: tasks share it, other columns don't
 
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = loaded(name, load)
+        model = loaded(name, load, token)
         for s in batches:
             out: list = [None] * len(s)
             todo = [i for i, v in enumerate(s) if v is not None]
