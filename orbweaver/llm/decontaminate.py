@@ -20,6 +20,10 @@ from orbweaver.session import cut, drop_path, scratch_path
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Terms of test windows (short strings) or numbers of documents that may be broadcast; beyond, they meet postings and words in a shuffle.
 BROADCAST_WINDOWS = 160_000
+#: Bytes, compressed, of a row group of stored words and postings: what a task holds before it writes, and reads at once.
+ROW_GROUP = 2 << 20
+#: Rows after which a row group's size is looked at first, so that long texts don't pile up before.
+FIRST_LOOK = 4
 
 
 def words(text: Column) -> Column:
@@ -54,8 +58,10 @@ class _Index:
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         self.paths.append(scratch_path(self.spark, name))
-        df.write.option("compression", "zstd").parquet(self.paths[-1])
-        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+        sizes = {"parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": FIRST_LOOK}
+        df.write.options(compression="zstd", **sizes).parquet(self.paths[-1])
+        # a vectored read keeps a buffer outside the heap, as large as a column's part of a row group, in each of its threads
+        return self.spark.read.schema(df.schema).option("parquet.hadoop.vectored.io.enabled", False).parquet(self.paths[-1])
 
     def drop(self) -> None:
         for p in self.paths:

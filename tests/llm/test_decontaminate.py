@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from orbweaver.llm import decontaminate
 
@@ -82,3 +83,24 @@ def test_query_against_brute_force(spark):
     got = sorted(tuple(r) for r in op10_benchmark_decontamination(spark, "/root/testdata/sf0.001").collect())
     assert got == sorted(slow(read("documents"), read("benchmark")))
     assert any(r[3] for r in got)
+
+
+def test_stored_words_come_in_small_row_groups(spark):
+    """A task that writes or reads the index holds a few MB of it, whether texts are many or long."""
+    import pyarrow.parquet as pq
+
+    def texts(n, size):
+        one = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.hex(F.xxhash64("id", i))), " ")
+        return spark.range(n).coalesce(1).select(F.col("id").alias("doc_id"), F.concat(one, F.lit(" short item")).alias("text"))
+
+    for n, size in ((2000, 800), (30, 60000)):
+        index = decontaminate._Index(texts(n, size), "doc_id", "text")
+        try:
+            assert index.words.agg(F.sum(F.size("ws"))).first()[0] == n * (size + 2)
+            files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.words.inputFiles()]
+            groups = [sum(m.row_group(k).column(c).total_compressed_size for c in range(m.num_columns)) for m in files for k in range(m.num_row_groups)]
+            assert sum(groups) > 10e6 and max(groups) < 4e6
+        finally:
+            index.drop()
+        items = spark.createDataFrame([(1, "short item")], "item_id int, text string")
+        assert {tuple(r)[1:4] for r in decontaminate.contamination(texts(n, size), items).collect()} == {(size + 2, 2, 1)}
