@@ -11,7 +11,7 @@ from orbweaver.functions import crypto
 from orbweaver.operators import cases, chunking, guardrails, intents
 from orbweaver.plans.feeds import _one_of, _text
 from orbweaver.plans.rules import _WILSON, wilson_by_arm
-from orbweaver.session import load, scratch_path
+from orbweaver.session import load, scratch_path, spread
 from orbweaver.sources import files
 from orbweaver.sources.formats import audio, code, decode, mail, office, pdf
 from orbweaver.streaming import monitor
@@ -21,6 +21,11 @@ def _key() -> Column:
     return F.col("p_partkey")
 
 
+def _spread_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts, over all cores: what Python does with a row takes far longer than to read it."""
+    return spread(load(spark, sf_dir, "part"), "p_partkey")
+
+
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as JSON lines, half of them appended, and read again."""
     e, path = load(spark, sf_dir, "events").select("event_id", "event_type", "value"), scratch_path(spark, "events-jsonl")
@@ -136,7 +141,7 @@ _SECRET = b"a secret of this query only"
 def card_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Card numbers as tokens and back: ends stay, the middle does not, and a tenant's tokens are its own."""
     number = F.concat(F.lit("411111"), F.lpad(_key().cast("string"), 6, "0"), F.lit("1234"))
-    p = load(spark, sf_dir, "part").select("p_partkey", number.alias("number")).withColumn("token", crypto.tokenize_cards(F.col("number"), _SECRET, "t1"))
+    p = _spread_parts(spark, sf_dir).select("p_partkey", number.alias("number")).withColumn("token", crypto.tokenize_cards(F.col("number"), _SECRET, "t1"))
     p = p.withColumn("back", crypto.detokenize_cards(F.col("token"), _SECRET, "t1")).withColumn("other", crypto.tokenize_cards(F.col("number"), _SECRET, "t2"))
     return p.select("p_partkey", "back", F.concat(F.left("token", F.lit(6)), F.right("token", F.lit(4))).alias("ends"), F.length("token").alias("size"), (F.col("token") != F.col("other")).alias("own"))
 
