@@ -59,11 +59,11 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf_dir: str, content: Column) -> DataFrame:
-    return load(spark, sf_dir, "part").select(_key().cast("string").alias("path"), content.cast("binary").alias("content"))
+    return _spread_parts(spark, sf_dir).select(_key().cast("string").alias("path"), content.cast("binary").alias("content"))
 
 
 def _texts(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
-    return load(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+    return _spread_parts(spark, sf_dir).select("p_partkey", text.alias("text"))
 
 
 def smart_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,7 @@ def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Python, braces and what is neither, by the endings of their names."""
     n = _key().cast("string")
     body = [_text("def f", n, "(a: int) -> int:\n    return a or ", n, "\n"), _text("func f", n, '(a int) {\n  return "}"\n}\n'), F.lit("def broken(:\n")]
-    d = load(spark, sf_dir, "part").select(F.concat(n, _one_of([".py", ".go", ".py"], _key())).alias("path"), F.element_at(F.array(*body), (_key() % 3 + 1).cast("int")).cast("binary").alias("content"))
+    d = _spread_parts(spark, sf_dir).select(F.concat(n, _one_of([".py", ".go", ".py"], _key())).alias("path"), F.element_at(F.array(*body), (_key() % 3 + 1).cast("int")).cast("binary").alias("content"))
     return decode(d, code.chunks).select("path", "index", "text", F.split_part("error", F.lit(":"), F.lit(1)).alias("error"))
 
 
@@ -127,7 +127,7 @@ def voice_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def folded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-width letters, ligatures and characters that show nothing."""
-    return load(spark, sf_dir, "part").select("p_partkey", guardrails.normalised(_text("ＡＢ​ ﬁx­ ", F.col("p_name"))).alias("text"))
+    return _spread_parts(spark, sf_dir).select("p_partkey", guardrails.normalised(_text("ＡＢ​ ﬁx­ ", F.col("p_name"))).alias("text"))
 
 
 def masked_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +164,7 @@ def signed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
             out.append((crypto.verify(body, s, _SECRET, 1000, 1200), crypto.verify(body + b".", s, _SECRET, 1000, 1200), crypto.verify(body, s, _SECRET, 1000, 1301), crypto.verify_slack(body, s.replace("sha256", "v0"), _SECRET, 1000, 1000)))
         return pd.DataFrame(out, columns=["fits", "other", "old", "slack"])
 
-    return load(spark, sf_dir, "part").select("p_partkey", run("p_name").alias("s")).select("p_partkey", "s.*")
+    return _spread_parts(spark, sf_dir).select("p_partkey", run("p_name").alias("s")).select("p_partkey", "s.*")
 
 
 def reply_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +175,7 @@ def reply_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def promise_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     text = _one_of(["I will pay on 5/11/2026", "pay tomorrow", "maybe next week", "by Friday", "no date"], k)
-    return load(spark, sf_dir, "orders").select("o_orderkey", intents.promised(text, F.col("o_orderdate")).cast("string").alias("day"))
+    return spread(load(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", intents.promised(text, F.col("o_orderdate")).cast("string").alias("day"))
 
 
 def arm_lifts(spark: SparkSession, sf_dir: str) -> DataFrame:

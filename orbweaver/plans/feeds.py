@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orbweaver import jobs, providers
 from orbweaver.operators import access, cases, cdc, chunking, enrich, guardrails, intents, outbound, service, telemetry
 from orbweaver.plans.text import _tag_sql
-from orbweaver.session import load
+from orbweaver.session import load, spread
 from orbweaver.sources import files, replication
 from orbweaver.streaming import kafka
 
@@ -26,7 +26,7 @@ def _one_of(values: list[str | None], n: Column) -> Column:
 
 def document_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as documents with a nested part, flattened."""
-    e = load(spark, sf_dir, "events")
+    e = spread(load(spark, sf_dir, "events"), "event_id")
     doc = _text('{"_id": ', F.col("event_id"), ', "kind": "', F.col("event_type"), '", "gone": null, "at": {"user": ', F.col("user_id"), ', "props": ', F.col("props"), '}, "list": [1, 2], "subs": [{"a": 1}, {"b": "x"}]}')
     return chunking.chunk_collection(e.select("event_id", doc.alias("document")), "events").select("event_id", "chunk")
 

@@ -108,3 +108,22 @@ def test_scene_join_and_decode(spark):
     f = spark.createDataFrame([("a.py", b"def f(): pass"), ("b.py", b"def (")], "path string, content binary")
     rows = {r.path: r for r in decode(f, code.chunks).collect()}
     assert rows["a.py"].error is None and rows["b.py"]["index"] == -1 and "SyntaxError" in rows["b.py"].error
+
+
+def test_mail_headers_are_parsed_once(monkeypatch):
+    import email.headerregistry
+
+    parsed, whole = [], email.headerregistry.HeaderRegistry.__call__
+    monkeypatch.setattr(email.headerregistry.HeaderRegistry, "__call__", lambda self, name, value: parsed.append(name) or whole(self, name, value))
+    raw = b"From: once@x.org\nSubject: once =?utf-8?q?=C3=A9?=\n folded\nContent-Type: text/plain; charset=utf-8; x=once\n\nbody"
+    assert mail.message("m.eml", raw) == [(0, "[Email From: once@x.org | Subject: once \u00e9 folded]\nbody")]
+    assert len(parsed) == len(set(parsed))
+    long = b"From: a@b.c\nTo: " + b", ".join(b"u%d@x.org" % i for i in range(100)) + b"\n\nbody"
+    assert mail.message("m.eml", long)[0][1].count("@x.org") == 100
+
+
+@pytest.mark.parametrize("name", ["email_chunks"])
+def test_decoders_of_parts_reach_every_core(spark, name):
+    from orbweaver.plans import contents
+
+    assert contents.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
