@@ -122,7 +122,7 @@ def test_mail_headers_are_parsed_once(monkeypatch):
     assert mail.message("m.eml", long)[0][1].count("@x.org") == 100
 
 
-@pytest.mark.parametrize("name", ["email_chunks", "masked_contacts"])
+@pytest.mark.parametrize("name", ["email_chunks", "masked_contacts", "pdf_pages"])
 def test_decoders_of_parts_reach_every_core(spark, name):
     from orbweaver.plans import contents
 
